@@ -87,8 +87,8 @@ def hash_share(column: str, share: float, seed: int = 17) -> Column:
     return F.pmod(F.xxhash64(F.col(column), F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_class: int, seed: int = 17) -> list:
-    """Rows (text, label) of about ``per_class`` labelled documents of each class.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_class: int, seed: int = 17) -> tuple[list, dict]:
+    """Rows (doc_id, text, y) of about ``per_class`` labelled documents of each class, and all labels' counts.
 
     The bound is the documented parameter of the callers: the sample is drawn by
     a hash of doc_id, so it is the same on every run and its size doesn't grow
@@ -108,4 +108,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = text.join(F.broadcast(ids), "doc_id").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return rows
+    return rows, counts

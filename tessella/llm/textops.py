@@ -140,3 +140,43 @@ def classes() -> np.ndarray:
 
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def letter_stream(texts: list[str], kinds: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-cased letters of all texts, a single 0 between words and at both ends, and each place's document.
+
+    A 0 belongs to the document of the word before it. ``kinds`` is the highest
+    character class that counts as part of a word: 1 letters, 2 also numbers.
+    """
+    lowered = [t.lower() for t in texts]
+    codes = code_points("\n" + "\n".join(lowered) + "\n")
+    kind = classes()[codes]
+    codes = np.where((kind > 0) & (kind <= kinds), codes, 0).astype(np.uint32)
+    keep = codes != 0
+    keep[1:] |= keep[:-1].copy()
+    keep[0] = True
+    doc = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in lowered])
+    doc = np.concatenate([np.zeros(1, doc.dtype), doc])[keep]
+    return codes[keep], doc
+
+
+def ngrams(codes: np.ndarray, order: int, bits: int) -> np.ndarray:
+    """The bucket of the n-gram that begins at each place; those that span two words keep their bucket too."""
+    h = np.full(max(0, len(codes) - order + 1), order * 0x9E3779B1 & 0xFFFFFFFF, np.uint32)
+    for k in range(order):
+        h = h * np.uint32(0x85EBCA6B) + codes[k : len(codes) - order + 1 + k]
+        h ^= h >> np.uint32(15)
+    h *= np.uint32(0xC2B2AE35)
+    return h >> np.uint32(32 - bits)
+
+
+def text_runs(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about CHUNK characters together, or one longer text."""
+    begin = size = 0
+    for i, t in enumerate(texts):
+        if i > begin and size + len(t) > CHUNK:
+            yield begin, i
+            begin, size = i, 0
+        size += len(t)
+    if begin < len(texts):
+        yield begin, len(texts)
