@@ -31,15 +31,24 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, batch: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
+    ``batch``: rows in an Arrow batch meanwhile, fewer where rows are long.
+
     This cuts the lineage: a lost executor costs only the tasks that were
     running, and several readers share one computation.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessella/{uuid.uuid4().hex}-{label}"
-    df.write.parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(key)
+    try:
+        if batch:
+            spark.conf.set(key, str(batch))
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, usual)
     if not _staged:
         atexit.register(_clean)
     _staged.append((spark, path))
