@@ -30,8 +30,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, shard by shard in shuffled order."""
-    mixed = mixing.mix(docs).repartition(SHARD).sortWithinPartitions(SHARD, "shuffle_key")
-    return mixed.select(*[f"`{c}`" for c in docs.columns])
+    return mixing.mixed(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +38,6 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs)
 
 
-SHARD = "shard"
 STAGES = [
     ("language ID", identify_language),
     ("exact dedup", drop_copies),

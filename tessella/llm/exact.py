@@ -148,17 +148,17 @@ def dedup(docs: DataFrame) -> DataFrame:
     Rows whose text isn't repeated pass without a shuffle; the others move with
     the key (digest, doc_id), which no single text can make hot.
     """
-    wide = docs.withColumn("_sha", digest())
-    prints = staged(wide.select("doc_id", "_sha"), "digests")
+    wide = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_id"), digest().alias("_sha"))
+    prints = staged(docs.select("doc_id", digest().alias("_sha")), "digests")
     bits, segments = repeat_filter(prints, prints.count())
     none = F.col("doc_id").isNull()
     first = F.min(F.struct(none.alias("none"), F.col("doc_id").alias("id")))
     keep = maybe_repeated(prints, bits, segments).where("_maybe").groupBy("_sha").agg(first.alias("_first"))
     keep = staged(keep.select("_sha", F.col("_first")["id"].alias("_keep_id")), "keep")
     marked = maybe_repeated(wide, bits, segments)
-    cond = (marked["_sha"] == keep["_sha"]) & marked["doc_id"].eqNullSafe(keep["_keep_id"])
-    stay = marked.where("_maybe").join(keep, cond, "left_semi").dropDuplicates(["_sha", "doc_id"])
-    return marked.where("not _maybe").union(stay).select(*[F.col(f"`{c}`") for c in docs.columns])
+    cond = (marked["_sha"] == keep["_sha"]) & marked["_id"].eqNullSafe(keep["_keep_id"])
+    stay = marked.where("_maybe").join(keep, cond, "left_semi").dropDuplicates(["_sha", "_id"])
+    return marked.where("not _maybe").select("_doc.*").union(stay.select("_doc.*"))
 
 
 SQL = r"""

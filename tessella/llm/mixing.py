@@ -145,15 +145,20 @@ def _keyed(rows: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, shards: int = 64, blocks: int = 4096, seed: int = 8) -> DataFrame:
-    """The mixed documents with their shard and the key that orders them inside it.
+    """The mixed documents, as structs ``_doc``, with their shard and the key that orders them inside it.
 
-    A document that is taken twice comes twice. Write a shard's rows together
-    with ``repartition("shard").sortWithinPartitions("shard", "shuffle_key")``.
+    A document that is taken twice comes twice.
     """
     _, sources, tickets = plan(docs, shards, blocks, seed)
     wide = docs.select(F.struct("*").alias("_doc"), "doc_id", "source")
     drawn = _keyed(wide, sources, seed).join(F.broadcast(tickets.select("_rank", "_block", "shard", "_pass", "_cut", "_only")), ["_rank", "_block"]).where("(_cut is null or _key <= _cut) and (_only is null or _key = _only)")
-    return drawn.select("_doc.*", "shard", F.xxhash64("doc_id", "_pass", F.lit(seed)).alias("shuffle_key"))
+    return drawn.select("_doc", "shard", F.xxhash64("doc_id", "_pass", F.lit(seed)).alias("shuffle_key"))
+
+
+def mixed(docs: DataFrame, shards: int = 64, blocks: int = 4096, seed: int = 8) -> DataFrame:
+    """The mixed documents with their own columns, each shard together and in its shuffled order."""
+    laid = mix(docs, shards, blocks, seed).repartition("shard").sortWithinPartitions("shard", "shuffle_key")
+    return laid.select("_doc.*")
 
 
 def taken(docs: DataFrame, shards: int = 64, blocks: int = 4096, seed: int = 8) -> DataFrame:
