@@ -11,10 +11,15 @@ concentration of BINS independent hashes.
 
 Documents with equal sets are one class. Classes whose sketches agree in a band
 (four coordinates of 32 bands: a pair at 0.75 is missed once in 200,000) are
-candidates. In a bucket, members are first compared with the bucket's centre,
-the group grows from there, and at the end every untested pair of one bucket
-whose ends are still apart is compared: all pairs inside a group that is already
-connected are never made. Each link is confirmed on the two whole sets.
+candidates. First each class is compared with one centre, that of its buckets
+with which it shares most bands; a bucket's centre is the member whose buckets
+are the fullest. Where a bucket still holds several components, the components
+that meet in such buckets form a cluster, and all pairs of a cluster's classes
+that aren't in its largest component together are compared, block by block:
+blocks of BLOCK texts meet two at a time in a task, which counts the shingles of
+all their pairs by posting lists. So no pair is ever a row, no task holds more
+than two blocks, and no link between candidates is lost. Every link is confirmed
+on the two whole sets.
 
 Defined cases: null text has no words, n_shingles 0 and no links; a document of
 one to four words has one shingle, its whole sequence; a null doc_id links with
@@ -40,10 +45,12 @@ WIDTH = 5
 BINS = 128
 BANDS = 32
 MATCH, OF = 75, 100
-#: Pairs whose sketches agree in fewer coordinates aren't compared: 0.55, five standard deviations below 0.75.
-LEAST = 70
-#: Rounds with one centre for each bucket, before all remaining pairs are compared.
-STARS = 6
+#: Texts in a block, about; a task holds two of them.
+BLOCK = 400
+#: Links that one task may join into components; more are contracted by all tasks together.
+LOCAL = 50_000
+#: Pairs of postings that are counted at a time.
+POSTINGS = 1 << 21
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOW = np.uint64((1 << 54) - 1)
 
@@ -132,10 +139,73 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections [x, y] of two lists of sets, by the posting lists of their hashes."""
+    def postings(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.concatenate(sets)
+        doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(keys, kind="stable")
+        return keys[order], doc[order]
+
+    keys, doc_x = postings(x)
+    other, doc_y = postings(y)
+    lo, hi = np.searchsorted(other, keys), np.searchsorted(other, keys, side="right")
+    hit = hi > lo
+    doc_x, lo, times = doc_x[hit], lo[hit], (hi - lo)[hit]
+    out = np.zeros(len(x) * len(y), np.int64)
+    ends = times.cumsum()
+    at = 0
+    while at < len(times):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + POSTINGS, side="right")))
+        n = times[at:stop]
+        places = np.arange(n.sum()) + np.repeat(lo[at:stop] - n.cumsum() + n, n)
+        out += np.bincount(np.repeat(doc_x[at:stop], n) * len(y) + doc_y[places], minlength=len(out))
+        at = stop
+    return out.reshape(len(x), len(y))
+
+
+def find(up: dict[int, int], x: int) -> int:
+    """The root of x, with the way there cut short."""
+    root = x
+    while up.get(root, root) != root:
+        root = up[root]
+    while up.get(x, x) != root:
+        up[x], x = root, up.get(x, x)
+    return root
+
+
+def _blocks(key: tuple, table: pa.Table) -> pa.Table:
+    """Links between the components of two blocks (or inside one), a forest of them."""
+    table = table.combine_chunks()
+    reps, at = np.unique(table.column("rep").to_numpy(), return_index=True)
+    table = table.take(pa.array(at))
+    block, comp = table.column("block").to_numpy(), table.column("comp").to_numpy()
+    _, sets = _sets(reps, table.column("text"))
+    a, b = (np.flatnonzero(block == k.as_py()) for k in key[1:])
+    links, up = [], {}
+    if len(a) and len(b):
+        both = common_counts([sets[i] for i in a], [sets[i] for i in b])
+        size = np.array([len(s) for s in sets])
+        close = (OF * both >= MATCH * (size[a][:, None] + size[b][None, :] - both)) & (comp[a][:, None] != comp[b][None, :])
+        for i, j in zip(*np.nonzero(close), strict=True):
+            x, y = find(up, int(comp[a[i]])), find(up, int(comp[b[j]]))
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                links.append((x, y))
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Roots of the nodes of at most LOCAL edges."""
+    up: dict[int, int] = {}
+    nodes: set[int] = set()
     for batch in batches:
-        x, y = (np.frombuffer(b"".join(v.as_py() for v in batch.column(k)), np.uint16).reshape(-1, BINS) for k in ("sketch_a", "sketch_b"))
-        yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= LEAST))
+        for lo, hi in zip(batch.column("lo").to_pylist(), batch.column("hi").to_pylist(), strict=True):
+            x, y = find(up, lo), find(up, hi)
+            nodes.update((lo, hi))
+            up[max(x, y)] = min(x, y)
+    out = sorted(nodes)
+    yield pa.RecordBatch.from_pydict({"node": pa.array(out, pa.int64()), "to": pa.array([find(up, x) for x in out], pa.int64())})
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -148,8 +218,8 @@ def merge_components(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """Labels (node, comp) of a forest, grown by links (a, b): comp is the smallest node reachable.
 
     Each round every component hooks on to its smallest lower neighbour, chains
-    are cut short by pointer jumping, and the links are contracted; no task and
-    no driver sees a whole component.
+    are cut short by a pointer jump, and the links are contracted; once LOCAL or
+    fewer are left, a task joins them. The driver sees none.
     """
     if labels is None:
         nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
@@ -158,21 +228,51 @@ def merge_components(labels: DataFrame | None, links: DataFrame) -> DataFrame:
         fresh = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(labels, "node", "left_anti")
         labels = labels.union(fresh.withColumn("comp", F.col("node")))
         edges = links.join(labels.toDF("a", "_ca"), "a").join(labels.toDF("b", "_cb"), "b").select(F.col("_ca").alias("a"), F.col("_cb").alias("b"))
-    labels = staged(labels, "labels")
     edges = staged(edges.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "edges")
-    while not edges.isEmpty():
-        up = staged(edges.groupBy("hi").agg(F.min("lo").alias("to")).toDF("node", "to"), "hooks")
-        for _ in range(2):
-            over = up.toDF("to", "over")
-            up = up.join(over, "to", "left").select("node", F.coalesce("over", "to").alias("to"))
-            up = staged(up, "hooks")
+    labels = staged(labels, "labels")
+    while n := edges.count():
+        if n <= LOCAL:
+            up = staged(edges.coalesce(1).mapInArrow(_union, "node bigint, to bigint"), "roots")
+        else:
+            hooks = staged(edges.groupBy("hi").agg(F.min("lo").alias("to")).toDF("node", "to"), "hooks")
+            up = staged(hooks.join(hooks.toDF("to", "over"), "to", "left").select("node", F.coalesce("over", "to").alias("to")), "roots")
         labels = staged(labels.join(up.toDF("comp", "to"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "labels")
+        if n <= LOCAL:
+            break
         moved = edges.join(up.toDF("lo", "lo2"), "lo", "left").join(up.toDF("hi", "hi2"), "hi", "left")
         moved = moved.select(F.coalesce("lo2", "lo").alias("x"), F.coalesce("hi2", "hi").alias("y")).where("x <> y")
         edges = staged(moved.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).distinct(), "edges")
     return labels
 
 
+def _between(own: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between the components of each cluster: rows (rep, comp, cluster) against each other, in blocks.
+
+    A cluster's largest component is its main one; pairs inside it aren't
+    compared. The other classes' blocks meet each other and the main ones'.
+    Clusters smaller than a block share blocks.
+    """
+    sizes = own.groupBy("cluster", "comp").agg(F.count("*").alias("c"))
+    sizes = sizes.groupBy("cluster").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("n_main"), (F.sum("c") - F.max("c")).alias("n_rest"))
+    sizes = staged(sizes, "sizes")
+    small = F.col("n_main") + F.col("n_rest") <= BLOCK
+    few = sizes.where(small).agg(F.coalesce(F.sum(F.col("n_main") + F.col("n_rest")), F.lit(0))).first()[0]
+    rows = own.join(sizes, "cluster").withColumns({
+        "_rest": F.ceil(F.col("n_rest") / BLOCK).cast("int"), "_mains": F.ceil(F.col("n_main") / BLOCK).cast("int"), "_h": F.xxhash64("rep"),
+    })
+    rows = rows.withColumn("block", F.when(small, 0).when(F.col("comp") == F.col("main"), F.col("_rest") + F.pmod("_h", "_mains")).otherwise(F.pmod("_h", "_rest")).cast("int"))
+    alone = F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))
+    # a main block meets every other block; another one also meets its like, the lower number first
+    main = F.expr("transform(sequence(0, _rest - 1), i -> struct(i as x, block as y))")
+    rest = F.expr("transform(sequence(0, _rest + _mains - 1), j -> struct(least(block, j) as x, greatest(block, j) as y))")
+    meets = F.when(small, alone).when(F.col("comp") == F.col("main"), main).otherwise(rest)
+    bundle = -1 - F.pmod(F.xxhash64("cluster"), F.lit(max(1, -(-int(few) // BLOCK))))
+    rows = rows.select(F.when(small, bundle).otherwise(F.col("cluster")).alias("task"), "rep", "comp", "block", F.explode(meets).alias("_m"))
+    rows = rows.select("task", F.col("_m.x").alias("x"), F.col("_m.y").alias("y"), "rep", "comp", "block")
+    full = rows.join(texts.toDF("rep", "text"), "rep")
+    return staged(full.groupBy("task", "x", "y").applyInArrow(_blocks, "a bigint, b bigint"), "between")
+
+
 def components(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
@@ -185,42 +285,24 @@ def components(docs: DataFrame) -> DataFrame:
     size = 2 * BINS // BANDS
     key = F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, substring(sketch, {size} * b + 1, {size})))")
     bands = reps.select("rep", F.explode(key).alias("key"))
-    centre = F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("id")))
-    buckets = staged(bands.groupBy("key").agg(F.count("*").alias("n"), centre.alias("c")).where("n > 1").select("key", F.col("c.id").alias("centre")), "buckets")
-    members = staged(bands.join(buckets, "key"), "members")
+    buckets = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = staged(bands.join(staged(buckets, "buckets"), "key"), "members")
+    degree = members.groupBy("rep").agg(F.sum("n").alias("degree"))
+    ranked = staged(members.join(degree, "rep"), "ranked")
+    centres = ranked.groupBy("key").agg(F.max_by("rep", F.struct("degree", "rep")).alias("centre"))
+    near = ranked.join(staged(centres, "centres"), "key").where("rep <> centre").groupBy("rep", "centre").agg(F.count("*").alias("n"))
+    pairs = near.groupBy("rep").agg(F.max_by("centre", F.struct("n", "centre")).alias("b")).withColumnRenamed("rep", "a")
     texts = staged(docs.join(members.select("rep").distinct(), docs["doc_id"] == F.col("rep"), "left_semi"), "texts")
+    labels = merge_components(None, _confirmed(staged(pairs, "pairs"), texts))
 
-    def best(pairs: DataFrame) -> DataFrame:
-        """For each rep the centre that it shares most bands with."""
-        shared = pairs.groupBy("rep", "centre").agg(F.count("*").alias("n"))
-        return shared.groupBy("rep").agg(F.max_by("centre", F.struct("n", "centre")).alias("b")).withColumnRenamed("rep", "a")
-
-    tested = staged(best(members.where("rep <> centre")), "pairs")
-    labels = merge_components(None, _confirmed(tested, texts))
-    enough = members.count()
-    for star in range(STARS + 1):
-        state = members.join(labels.toDF("rep", "comp"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-        counts = state.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"))
-        open_ = staged(counts.where("q < n * n").select("key", ((F.col("n") * F.col("n") - F.col("q")) / 2).alias("pairs")), "open")
-        left = open_.agg(F.sum("pairs")).first()[0]
-        if not left:
-            break
-        state = staged(state.join(open_.select("key"), "key"), "state")
-        if star == STARS or left <= enough:
-            other = state.toDF("key", "b", "comp_b")
-            pairs = state.withColumnRenamed("rep", "a").join(other, "key").where("a < b and comp <> comp_b").select("a", "b").distinct()
-            done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-            known = reps.select("rep", "sketch")
-            pairs = pairs.join(known.toDF("a", "sketch_a"), "a").join(known.toDF("b", "sketch_b"), "b")
-            pairs = staged(pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(_alike, "a bigint, b bigint"), "pairs")
-            labels = merge_components(labels, _confirmed(pairs, texts))
-            break
-        turn = F.min(F.struct(F.xxhash64("rep", F.lit(star)).alias("h"), F.col("rep").alias("id"), F.col("comp").alias("comp")))
-        centres = staged(state.groupBy("key").agg(turn.alias("c")).select("key", F.col("c.id").alias("centre"), F.col("c.comp").alias("comp_c")), "centres")
-        pairs = staged(best(state.join(centres, "key").where("comp <> comp_c")).join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = staged(tested.union(pairs.select("a", "b")), "tested")
-        labels = merge_components(labels, _confirmed(pairs, texts))
+    state = members.join(labels.toDF("rep", "comp"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
+    state = staged(state, "state")
+    mixed = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    state = staged(state.join(staged(mixed.select("key", "lo"), "mixed"), "key"), "open")
+    clusters = merge_components(None, state.where("comp <> lo").select(F.col("lo").alias("a"), F.col("comp").alias("b")))
+    own = state.select("rep", "comp").distinct().join(clusters.toDF("comp", "cluster"), "comp")
+    own = staged(own, "clusters")
+    labels = merge_components(labels, _between(own, texts))
 
     named = staged(reps.join(labels.toDF("rep", "comp"), "rep", "left").select("k1", "k2", F.col("n_shingles").alias("_n"), F.coalesce("comp", "rep").alias("component_id")), "named")
     same = (signed["k1"] == named["k1"]) & (signed["k2"] == named["k2"]) & (signed["n_shingles"] == named["_n"]) & signed["doc_id"].isNotNull()
@@ -232,3 +314,18 @@ def dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document is the smallest of its group, all columns as they are."""
     gone = components(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+
+
+#: The contract's rows in DuckDB: all pairs by their common shingles, then everything reachable.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles FROM s),
+e AS (SELECT doc_id, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n_shingles + y.n_shingles - c)),
+links AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT links.b, r.root FROM r JOIN links ON links.a = r.doc_id)
+SELECT n.doc_id, n.n_shingles, min(root) AS component_id, n.doc_id = min(root) AS kept FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id, n.n_shingles
+"""

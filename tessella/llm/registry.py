@@ -28,4 +28,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact.SQL}
+    return {"op3_near_dedup": minhash.SQL, "op4_exact_dedup": exact.SQL}
