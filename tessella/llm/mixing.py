@@ -12,8 +12,9 @@ documents by a hash.
 
 On the main path there are only DataFrame and SQL functions. The driver holds
 one row per source and the counts of the tree (sources x shards), never
-documents; the broadcast tables have a row per block, at most
-``blocks + 2 * sources``.
+documents. The tables joined to the documents have a row per source or block,
+at most ``LIMIT * (blocks + sources) + sources``; they are broadcast while there
+are up to BROADCAST sources, and joined by shuffling beyond that.
 
 Defined cases: null or blank text has size 0; a null source is a source of its
 own, the last; a source of size 0 has target 0 and is not taken; null doc_ids
@@ -23,6 +24,8 @@ gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +35,8 @@ from tessella.llm.common import WORD, staged
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 LIMIT = 2
+#: Sources up to which the tables of sources and blocks are broadcast.
+BROADCAST = 50_000
 
 
 def word_count(text: str = "text") -> Column:
@@ -84,6 +89,11 @@ def _key(seed: int) -> Column:
     return F.xxhash64(F.col("doc_id"), F.lit(seed), F.lit("order"))
 
 
+def _small(sources: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """The hint for tables with a row per source or block: broadcast, if there aren't too many."""
+    return F.broadcast if sources.count() <= BROADCAST else lambda df: df
+
+
 def plan(docs: DataFrame, shards: int = 64, blocks: int = 4096, seed: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The staged sizes (doc_id, source, size), the sources and the tickets.
 
@@ -96,27 +106,28 @@ def plan(docs: DataFrame, shards: int = 64, blocks: int = 4096, seed: int = 8) -
     total = F.sum("source_size").over(Window.partitionBy())
     share = F.ceil(blocks * F.col("source_size") / F.greatest(total, F.lit(1)))
     sources = staged(targets(sizes).withColumn("_blocks", F.greatest(F.lit(1), F.least(share, F.col("docs"))).cast("int")), "sources")
+    small = _small(sources)
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(LIMIT))).otherwise(0).cast("int")
     mixed = sources.withColumn("_whole", whole).withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
 
-    small = F.broadcast(mixed.select(F.col("source").alias("_s"), "_rank", "_blocks", "_rest"))
-    dealt = sizes.join(small, sizes["source"].eqNullSafe(F.col("_s"))).select("_rank", "_rest", _block(seed).alias("_block"), _key(seed).alias("_key"), "size")
+    known = small(mixed.select(F.col("source").alias("_s"), "_rank", "_blocks", "_rest"))
+    dealt = sizes.join(known, sizes["source"].eqNullSafe(F.col("_s"))).select("_rank", "_rest", _block(seed).alias("_block"), _key(seed).alias("_key"), "size")
     order = Window.partitionBy("_rank").orderBy(F.xxhash64("_block", F.lit(seed)), "_block")
     runs = dealt.groupBy("_rank", "_block", "_rest").agg(F.sum("size").alias("_words"))
     runs = runs.withColumn("_place", F.row_number().over(order)).withColumn("_before", F.sum("_words").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_words"))
     runs = staged(runs, "blocks")
     edge = runs.where("_before < _rest and _before + _words > _rest")
     within = Window.partitionBy("_rank", "_block").orderBy("_key")
-    last = dealt.join(F.broadcast(edge.select("_rank", "_block", "_before")), ["_rank", "_block"])
+    last = dealt.join(small(edge.select("_rank", "_block", "_before")), ["_rank", "_block"])
     last = last.withColumn("_sum", F.col("_before") + F.sum("size").over(within.rangeBetween(Window.unboundedPreceding, 0)))
     cuts = last.where("_sum <= _rest").groupBy("_rank", "_block").agg(F.max("_key").alias("_cut"))
-    runs = runs.join(F.broadcast(cuts), ["_rank", "_block"], "left")
+    runs = runs.join(small(cuts), ["_rank", "_block"], "left")
     runs = runs.withColumn("_cut", F.when(F.expr("_before + _words > _rest"), F.coalesce("_cut", F.lit(-(2**63)))))
-    passes = F.broadcast(mixed.select("_rank", "_whole"))
+    passes = small(mixed.select("_rank", "_whole"))
     open_ = runs.where("_before + _words > _rest")
     filled = edge.select("_rank", "_before").join(last.where("_sum <= _rest").groupBy("_rank").agg(F.max("_sum").alias("_sum")), "_rank", "left")
-    filled = F.broadcast(filled.select("_rank", F.coalesce("_sum", "_before").alias("_got")))
-    left = dealt.join(F.broadcast(open_.select("_rank", "_block", "_cut")), ["_rank", "_block"]).where("size > 0 and _key > _cut")
+    filled = small(filled.select("_rank", F.coalesce("_sum", "_before").alias("_got")))
+    left = dealt.join(small(open_.select("_rank", "_block", "_cut")), ["_rank", "_block"]).where("size > 0 and _key > _cut")
     miss = F.abs(F.col("_rest") - F.col("_got") - F.col("size"))
     top = left.join(filled, "_rank").where(miss < F.col("_rest") - F.col("_got")).groupBy("_rank").agg(F.min_by(F.struct("_block", "_key"), F.struct(miss, "_key")).alias("_top"))
     top = top.select("_rank", F.col("_top._block").alias("_block"), F.lit(None).cast("bigint").alias("_cut"), F.col("_top._key").alias("_only"))
@@ -135,12 +146,12 @@ def plan(docs: DataFrame, shards: int = 64, blocks: int = 4096, seed: int = 8) -
     rows = [(r["_rank"], s, int(ends[s, i] - counts[s, i]), int(ends[s, i])) for i, r in enumerate(quotas) for s in range(shards) if counts[s, i]]
     runs_of = spark.createDataFrame(rows, "_r int, shard int, _from bigint, _to bigint")
     hit = (F.col("_rank") == F.col("_r")) & (F.col("_n") >= F.col("_from")) & (F.col("_n") < F.col("_to"))
-    tickets = ticket.join(F.broadcast(runs_of), hit).join(F.broadcast(sources.select("_rank", "source", "_blocks")), "_rank")
+    tickets = ticket.join(small(runs_of), hit).join(small(sources.select("_rank", "source", "_blocks")), "_rank")
     return sizes, sources, staged(tickets.select("source", "_rank", "_blocks", "_block", "shard", "_pass", "_cut", "_only"), "dealt")
 
 
-def _keyed(rows: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
-    known = F.broadcast(sources.select(F.col("source").alias("_s"), "_rank", "_blocks", "source_size", "target"))
+def _keyed(rows: DataFrame, sources: DataFrame, small: Callable, seed: int) -> DataFrame:
+    known = small(sources.select(F.col("source").alias("_s"), "_rank", "_blocks", "source_size", "target"))
     return rows.join(known, rows["source"].eqNullSafe(F.col("_s"))).withColumns({"_block": _block(seed), "_key": _key(seed)})
 
 
@@ -150,8 +161,9 @@ def mix(docs: DataFrame, shards: int = 64, blocks: int = 4096, seed: int = 8) ->
     A document that is taken twice comes twice.
     """
     _, sources, tickets = plan(docs, shards, blocks, seed)
+    small = _small(sources)
     wide = docs.select(F.struct("*").alias("_doc"), "doc_id", "source")
-    drawn = _keyed(wide, sources, seed).join(F.broadcast(tickets.select("_rank", "_block", "shard", "_pass", "_cut", "_only")), ["_rank", "_block"]).where("(_cut is null or _key <= _cut) and (_only is null or _key = _only)")
+    drawn = _keyed(wide, sources, small, seed).join(small(tickets.select("_rank", "_block", "shard", "_pass", "_cut", "_only")), ["_rank", "_block"]).where("(_cut is null or _key <= _cut) and (_only is null or _key = _only)")
     return drawn.select("_doc", "shard", F.xxhash64("doc_id", "_pass", F.lit(seed)).alias("shuffle_key"))
 
 
@@ -165,6 +177,7 @@ def taken(docs: DataFrame, shards: int = 64, blocks: int = 4096, seed: int = 8)
     """One row per document: doc_id, size, source_size, target, taken."""
     sizes, sources, tickets = plan(docs, shards, blocks, seed)
     uses = tickets.groupBy("_rank", "_block").agg(F.sum(F.when(F.expr("_cut is null and _only is null"), 1).otherwise(0)).alias("_all"), F.max("_cut").alias("_upto"), F.max("_only").alias("_also"))
-    rows = _keyed(sizes, sources, seed).join(F.broadcast(uses), ["_rank", "_block"], "left")
+    small = _small(sources)
+    rows = _keyed(sizes, sources, small, seed).join(small(uses), ["_rank", "_block"], "left")
     times = F.coalesce("_all", F.lit(0)) + F.when(F.expr("_key <= _upto or _key = _also"), 1).otherwise(0)
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * times).cast("bigint").alias("taken"))
