@@ -35,7 +35,7 @@ EPOCHS = 20
 BATCH = 128
 RATE = 0.05
 #: The mean of thousands of n-grams is small; it is scaled by this before the softmax.
-SCALE = 100.0
+SCALE = 300.0
 #: N-grams seen in fewer training texts keep a zero vector, as unseen ones do.
 LEAST = 5
 DECAY = 1e-4
