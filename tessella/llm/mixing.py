@@ -13,8 +13,8 @@ documents by a hash.
 On the main path there are only DataFrame and SQL functions. The driver holds
 one row per source and the counts of the tree (sources x shards), never
 documents. The tables joined to the documents have a row per source or block,
-at most ``LIMIT * (blocks + sources) + sources``; they are broadcast while there
-are up to BROADCAST sources, and joined by shuffling beyond that.
+at most ``LIMIT * (blocks + sources) + sources``; they are broadcast up to
+BROADCAST of these, and joined by shuffling beyond that.
 
 Defined cases: null or blank text has size 0; a null source is a source of its
 own, the last; a source of size 0 has target 0 and is not taken; null doc_ids
@@ -35,7 +35,11 @@ from tessella.llm.common import WORD, staged
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 LIMIT = 2
-#: Sources up to which the tables of sources and blocks are broadcast.
+#: Output shards and blocks at least. Shards hold SHARD_WORDS words at most, about, so their number grows with the mix.
+SHARDS, BLOCKS = 64, 4096
+SHARD_WORDS = 100_000_000
+BLOCKS_PER_SHARD = 16
+#: Sources and blocks, together, up to which their tables are broadcast.
 BROADCAST = 50_000
 
 
@@ -91,10 +95,11 @@ def _key(seed: int) -> Column:
 
 def _small(sources: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """The hint for tables with a row per source or block: broadcast, if there aren't too many."""
-    return F.broadcast if sources.count() <= BROADCAST else lambda df: df
+    blocks = sources.agg(F.count("*") + F.coalesce(F.sum("_blocks"), F.lit(0))).first()[0]
+    return F.broadcast if blocks <= BROADCAST else lambda df: df
 
 
-def plan(docs: DataFrame, shards: int = 64, blocks: int = 4096, seed: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
+def plan(docs: DataFrame, shards: int | None = None, blocks: int | None = None, seed: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The staged sizes (doc_id, source, size), the sources and the tickets.
 
     A ticket is (source, block, shard, cut, only): the mix takes the block's
@@ -103,9 +108,12 @@ def plan(docs: DataFrame, shards: int = 64, blocks: int = 4096, seed: int = 8) -
     """
     spark = docs.sparkSession
     sizes = staged(docs.select("doc_id", "source", word_count().alias("size")), "sizes")
-    total = F.sum("source_size").over(Window.partitionBy())
-    share = F.ceil(blocks * F.col("source_size") / F.greatest(total, F.lit(1)))
-    sources = staged(targets(sizes).withColumn("_blocks", F.greatest(F.lit(1), F.least(share, F.col("docs"))).cast("int")), "sources")
+    sources = staged(targets(sizes), "targets")
+    total = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    shards = shards or max(SHARDS, int(-(-SHARE * total // SHARD_WORDS)))
+    blocks = blocks or max(BLOCKS, BLOCKS_PER_SHARD * shards)
+    share = F.ceil(F.lit(blocks) * F.col("source_size") / F.lit(max(1, total)))
+    sources = staged(sources.withColumn("_blocks", F.greatest(F.lit(1), F.least(share, F.col("docs"))).cast("int")), "sources")
     small = _small(sources)
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(LIMIT))).otherwise(0).cast("int")
     mixed = sources.withColumn("_whole", whole).withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
@@ -155,7 +163,7 @@ def _keyed(rows: DataFrame, sources: DataFrame, small: Callable, seed: int) -> D
     return rows.join(known, rows["source"].eqNullSafe(F.col("_s"))).withColumns({"_block": _block(seed), "_key": _key(seed)})
 
 
-def mix(docs: DataFrame, shards: int = 64, blocks: int = 4096, seed: int = 8) -> DataFrame:
+def mix(docs: DataFrame, shards: int | None = None, blocks: int | None = None, seed: int = 8) -> DataFrame:
     """The mixed documents, as structs ``_doc``, with their shard and the key that orders them inside it.
 
     A document that is taken twice comes twice.
@@ -167,13 +175,13 @@ def mix(docs: DataFrame, shards: int = 64, blocks: int = 4096, seed: int = 8) ->
     return drawn.select("_doc", "shard", F.xxhash64("doc_id", "_pass", F.lit(seed)).alias("shuffle_key"))
 
 
-def mixed(docs: DataFrame, shards: int = 64, blocks: int = 4096, seed: int = 8) -> DataFrame:
+def mixed(docs: DataFrame, shards: int | None = None, blocks: int | None = None, seed: int = 8) -> DataFrame:
     """The mixed documents with their own columns, each shard together and in its shuffled order."""
     laid = mix(docs, shards, blocks, seed).repartition("shard").sortWithinPartitions("shard", "shuffle_key")
     return laid.select("_doc.*")
 
 
-def taken(docs: DataFrame, shards: int = 64, blocks: int = 4096, seed: int = 8) -> DataFrame:
+def taken(docs: DataFrame, shards: int | None = None, blocks: int | None = None, seed: int = 8) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken."""
     sizes, sources, tickets = plan(docs, shards, blocks, seed)
     uses = tickets.groupBy("_rank", "_block").agg(F.sum(F.when(F.expr("_cut is null and _only is null"), 1).otherwise(0)).alias("_all"), F.max("_cut").alias("_upto"), F.max("_only").alias("_also"))
