@@ -9,9 +9,10 @@ normalised at the cost of two small softmaxes.
 The vocabulary comes from the word counts of the whole corpus: the VOCABULARY
 most frequent words, in classes of CLASS by rank; all other words share CLASS
 hash buckets. Training is data-parallel: in each of ROUNDS rounds every
-partition continues from the common weights on one of SHARE of all its word
-positions, and the weights are averaged, weighted by positions. What is
-gathered, counts and weights, grows with the corpus.
+partition continues from the common weights on one of ROUNDS parts of its word
+positions, and the weights are averaged, weighted by positions. Every position
+of the corpus is a target exactly once. What is gathered, counts and weights,
+grows with the corpus.
 
 Defined cases: null text and text without words have 0 words, sum 0 and a null
 mean; places before the first and after the last word are a padding word of
@@ -33,7 +34,7 @@ from tessella.llm.common import ship
 
 VOCABULARY, CLASS = 2048, 64
 SIDE, EMBED, HIDDEN = 2, 16, 24
-SHARE, ROUNDS, BATCH, RATE = 16, 2, 512, 0.1
+ROUNDS, BATCH, RATE = 2, 512, 0.1
 #: Distinct words that a task counts before it hands them on.
 HELD = 1 << 20
 BLOCKS, SALTS = 8, 16
@@ -83,6 +84,7 @@ class Network:
         self.sorted = words[self.order]
         shapes = [(self.size + 1, EMBED), (2 * SIDE * EMBED, HIDDEN), (HIDDEN,), (HIDDEN, self.classes), (self.classes,), (self.classes, HIDDEN, CLASS), (self.classes, CLASS)]
         self.shapes = shapes
+        self.ends = np.cumsum([int(np.prod(shape)) for shape in shapes]).tolist()
 
     def fresh(self, seed: int = 2) -> np.ndarray:
         rng = np.random.Generator(np.random.PCG64(seed))
@@ -90,8 +92,7 @@ class Network:
         return np.concatenate([rng.normal(0, s, shape).ravel() if s else np.zeros(int(np.prod(shape))) for s, shape in zip(scale, self.shapes, strict=True)]).astype(np.float32)
 
     def parts(self, flat: np.ndarray) -> list[np.ndarray]:
-        ends = np.cumsum([int(np.prod(s)) for s in self.shapes])
-        return [flat[e - int(np.prod(s)) : e].reshape(s) for e, s in zip(ends, self.shapes, strict=True)]
+        return [flat[i:j].reshape(s) for i, j, s in zip([0, *self.ends], self.ends, self.shapes, strict=False)]
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each word."""
@@ -130,35 +131,43 @@ class Network:
 
     def learn(self, flat: np.ndarray, sums: np.ndarray, context: np.ndarray, target: np.ndarray) -> None:
         """One Adagrad step on a batch, in place."""
-        e, w1, b1, wc, bc, ww, bw = self.parts(flat)
-        grad = np.zeros_like(flat)
-        ge, gw1, gb1, gwc, gbc, gww, gbw = self.parts(grad)
-        x = e[context].reshape(len(context), -1)
+        own, past = self.parts(flat), self.parts(sums)
+        e, w1, b1, wc, bc, ww, bw = own
+        order, n = np.argsort(target // CLASS, kind="stable"), len(target)
+        context, target = context[order], target[order]
+        cls, each = target // CLASS, np.arange(n)
+        used, starts = np.unique(cls, return_index=True)
+        runs = list(zip(used.tolist(), starts.tolist(), [*starts[1:].tolist(), n], strict=True))
+        x = e[context].reshape(n, -1)
         h = np.tanh(x @ w1 + b1)
-        cls, within, n = target // CLASS, target % CLASS, len(target)
-        z = h @ wc + bc
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(n), cls] -= 1
+        p = _softmax(h @ wc + bc)
+        p[each, cls] -= 1
         p /= n
-        gwc[:], gbc[:] = h.T @ p, p.sum(axis=0)
-        dh = p @ wc.T
-        for c in np.unique(cls).tolist():
-            rows = np.flatnonzero(cls == c)
-            z = h[rows] @ ww[c] + bw[c]
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(rows)), within[rows]] -= 1
-            p /= n
-            gww[c], gbw[c] = h[rows].T @ p, p.sum(axis=0)
-            dh[rows] += p @ ww[c].T
+        q = bw[cls]
+        for c, i, j in runs:
+            q[i:j] += h[i:j] @ ww[c]
+        q = _softmax(q)
+        q[each, target % CLASS] -= 1
+        q /= n
+        dh, gww = p @ wc.T, np.empty((len(used), HIDDEN, CLASS), np.float32)
+        for k, (c, i, j) in enumerate(runs):
+            np.matmul(h[i:j].T, q[i:j], out=gww[k])
+            dh[i:j] += q[i:j] @ ww[c].T
         dz = dh * (1 - h * h)
-        gw1[:], gb1[:] = x.T @ dz, dz.sum(axis=0)
         dx = (dz @ w1.T).reshape(-1, EMBED)
-        for k in range(EMBED):
-            ge[:, k] = np.bincount(context.ravel(), dx[:, k], self.size + 1)
-        sums += grad * grad
-        flat -= RATE * grad / np.sqrt(sums)
+        seen, at = np.unique(context.ravel(), return_inverse=True)
+        ge = np.stack([np.bincount(at, dx[:, k], len(seen)) for k in range(EMBED)], axis=1).astype(np.float32)
+        grads = [ge, x.T @ dz, dz.sum(axis=0), h.T @ p, p.sum(axis=0), gww, np.add.reduceat(q, starts, axis=0)]
+        # Words and classes that the batch doesn't touch have no gradient, so Adagrad leaves them as they are.
+        for to, total, rows, g in zip(own, past, [seen, *[slice(None)] * 4, used, used], grads, strict=True):
+            total[rows] += g * g
+            to[rows] -= RATE * g / np.sqrt(total[rows])
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    return p
 
 
 def _train(network, weights, turn: int):
@@ -170,7 +179,7 @@ def _train(network, weights, turn: int):
         for batch in batches:
             for _, _, data, offsets in tx.chunks(batch.column("text")):
                 hashes, doc = tx.word_hashes(data, offsets)
-                at = np.flatnonzero(tx.mix(hashes + np.arange(len(hashes), dtype=_U)) % _U(SHARE) == turn)
+                at = np.flatnonzero(tx.mix(hashes + np.arange(len(hashes), dtype=_U)) % _U(ROUNDS) == turn)
                 words = net.numbers(hashes)
                 context, target = net.contexts(words, doc, at), words[at]
                 for k in range(0, len(at), BATCH):

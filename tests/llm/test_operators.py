@@ -106,6 +106,16 @@ def test_lm_probabilities_sum_to_one_and_learn(make):
     assert mean > 1 + np.mean([r.mean_log_likelihood for r in fresh.collect()])  # after a few hundred positions
 
 
+def test_lm_trains_on_every_position_once(make):
+    docs = make([(i, " ".join(f"w{i * j % 97}" for j in range(50 + i))) for i in range(40)])
+    sc = docs.sparkSession.sparkContext
+    net = lm.Network(lm.vocabulary(docs))
+    network, flat = sc.broadcast(net), sc.broadcast(net.fresh())
+    schema = "block int, salt int, n bigint, total binary"
+    seen = [docs.select("text").mapInArrow(lm._train(network, flat, k), schema).where("block = 0").selectExpr("sum(n) AS n").first().n for k in range(lm.ROUNDS)]
+    assert sum(seen) == sum(50 + i for i in range(40))
+
+
 def test_lm_odd(odd):
     got = lm.score_documents(odd).collect()
     assert len(got) == odd.count()
