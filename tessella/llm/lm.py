@@ -6,9 +6,11 @@ conditional log-probabilities. The probability of a word is that of its class
 times that of the word inside the class, so each prediction is properly
 normalised at the cost of two small softmaxes.
 
-The vocabulary comes from the word counts of the whole corpus: the VOCABULARY
-most frequent words, in classes of CLASS by rank; all other words share CLASS
-hash buckets. Training is data-parallel: in each of ROUNDS rounds every
+The vocabulary comes from the word counts of the whole corpus: the most frequent
+words, in classes by rank, ``vocabulary_size`` of them, which grows with the
+number of distinct words; so does the width of a class. All other words share one
+class of hash buckets. The probability of such a word is that of its bucket times
+its share of the bucket's words in the whole corpus. Training is data-parallel: in each of ROUNDS rounds every
 partition continues from the common weights on one of ROUNDS parts of its word
 positions, and the weights are averaged, weighted by positions. Every position
 of the corpus is a target exactly once. What is gathered, counts and weights,
@@ -26,13 +28,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import textops as tx
-from tessella.llm.common import ship
+from tessella.llm.common import ship, staged
 
-VOCABULARY, CLASS = 2048, 64
+#: The least vocabulary and width of a class; words of the vocabulary for each cube root of the distinct words.
+VOCABULARY, CLASS, GROWTH = 2048, 64, 32
+#: Logarithms of counts are summed in whole numbers of 1 / FIXED, so the sum doesn't depend on the order.
+FIXED = 1 << 32
 SIDE, EMBED, HIDDEN = 2, 16, 24
 ROUNDS, BATCH, RATE = 2, 512, 0.1
 #: Distinct words that a task counts before it hands them on.
@@ -67,22 +73,55 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.bincount(inverse, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> np.ndarray:
+def vocabulary_size(distinct: int) -> int:
+    return max(VOCABULARY, CLASS * round(GROWTH * distinct ** (1 / 3) / CLASS))
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """h, n: the words of the whole corpus by hash."""
+    return staged(docs.select("text").mapInArrow(_count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("h IS NOT NULL"), "words")
+
+
+def split_words(counts: DataFrame, size: int | None = None) -> tuple[np.ndarray, DataFrame]:
+    """Hashes of the most frequent words, most frequent first, and the counts of all others.
+
+    The number of words at each count gives the count at which the vocabulary
+    ends, so no task sorts all words; ties go by hash.
+    """
+    at = {r["n"]: r["words"] for r in counts.groupBy("n").agg(F.count("*").alias("words")).collect()}
+    size = vocabulary_size(sum(at.values())) if size is None else size
+    least, above = 0, 0
+    for n in sorted(at, reverse=True):
+        if above + at[n] > size:
+            least = n
+            break
+        above += at[n]
+    rows = [(r["n"], r["h"]) for r in counts.where(F.col("n") > least).collect()]
+    ties = [r["h"] for r in counts.where(F.col("n") == least).orderBy("h").limit(size - above).collect()] if least else []
+    rows.sort(key=lambda r: (-r[0], r[1]))
+    rest = F.col("n") < least
+    if least:
+        rest = rest | ((F.col("n") == least) & (F.col("h") > ties[-1] if ties else F.lit(True)))
+    return np.array([h for _, h in rows] + ties, np.int64).view(_U), counts.where(rest)
+
+
+def vocabulary(docs: DataFrame, size: int | None = None) -> np.ndarray:
     """Hashes of the most frequent words of the whole corpus, most frequent first: at most ``size`` of them."""
-    counts = docs.select("text").mapInArrow(_count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "h").limit(size).collect()
-    return np.array([r["h"] for r in rows], np.int64).view(_U)
+    return split_words(word_counts(docs), size)[0]
 
 
 class Network:
-    """Weights and the two passes. Words are numbered: the vocabulary by rank, then CLASS buckets, then the padding."""
+    """Weights and the two passes. Words are numbered: the vocabulary by rank, then the buckets, then the padding."""
 
     def __init__(self, words: np.ndarray) -> None:
-        self.classes = -(-len(words) // CLASS) + 1
-        self.size = self.classes * CLASS
+        self.width = CLASS
+        while self.width**2 < len(words):  # about as many classes as words in one
+            self.width *= 2
+        self.classes = -(-len(words) // self.width) + 1
+        self.size = self.classes * self.width
         self.order = np.argsort(words)
         self.sorted = words[self.order]
-        shapes = [(self.size + 1, EMBED), (2 * SIDE * EMBED, HIDDEN), (HIDDEN,), (HIDDEN, self.classes), (self.classes,), (self.classes, HIDDEN, CLASS), (self.classes, CLASS)]
+        shapes = [(self.size + 1, EMBED), (2 * SIDE * EMBED, HIDDEN), (HIDDEN,), (HIDDEN, self.classes), (self.classes,), (self.classes, HIDDEN, self.width), (self.classes, self.width)]
         self.shapes = shapes
         self.ends = np.cumsum([int(np.prod(shape)) for shape in shapes]).tolist()
 
@@ -96,7 +135,7 @@ class Network:
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each word."""
-        rare = (self.classes - 1) * CLASS + (hashes % _U(CLASS)).astype(np.int64)
+        rare = self.size - self.width + (hashes % _U(self.width)).astype(np.int64)
         if not len(self.sorted):
             return rare
         at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
@@ -115,7 +154,7 @@ class Network:
     def log_probability(self, flat: np.ndarray, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         e, w1, b1, wc, bc, ww, bw = self.parts(flat)
         h = np.tanh(e[context].reshape(len(context), -1) @ w1 + b1)
-        cls = target // CLASS
+        cls = target // self.width
         z = h @ wc + bc
         z -= z.max(axis=1, keepdims=True)
         out = z[np.arange(len(z)), cls] - np.log(np.exp(z).sum(axis=1))
@@ -126,16 +165,16 @@ class Network:
             if len(rows):
                 z = h[rows] @ ww[c] + bw[c]
                 z -= z.max(axis=1, keepdims=True)
-                out[rows] += z[np.arange(len(rows)), target[rows] % CLASS] - np.log(np.exp(z).sum(axis=1))
+                out[rows] += z[np.arange(len(rows)), target[rows] % self.width] - np.log(np.exp(z).sum(axis=1))
         return out
 
     def learn(self, flat: np.ndarray, sums: np.ndarray, context: np.ndarray, target: np.ndarray) -> None:
         """One Adagrad step on a batch, in place."""
         own, past = self.parts(flat), self.parts(sums)
         e, w1, b1, wc, bc, ww, bw = own
-        order, n = np.argsort(target // CLASS, kind="stable"), len(target)
+        order, n = np.argsort(target // self.width, kind="stable"), len(target)
         context, target = context[order], target[order]
-        cls, each = target // CLASS, np.arange(n)
+        cls, each = target // self.width, np.arange(n)
         used, starts = np.unique(cls, return_index=True)
         runs = list(zip(used.tolist(), starts.tolist(), [*starts[1:].tolist(), n], strict=True))
         x = e[context].reshape(n, -1)
@@ -147,9 +186,9 @@ class Network:
         for c, i, j in runs:
             q[i:j] += h[i:j] @ ww[c]
         q = _softmax(q)
-        q[each, target % CLASS] -= 1
+        q[each, target % self.width] -= 1
         q /= n
-        dh, gww = p @ wc.T, np.empty((len(used), HIDDEN, CLASS), np.float32)
+        dh, gww = p @ wc.T, np.empty((len(used), HIDDEN, self.width), np.float32)
         for k, (c, i, j) in enumerate(runs):
             np.matmul(h[i:j].T, q[i:j], out=gww[k])
             dh[i:j] += q[i:j] @ ww[c].T
@@ -205,11 +244,11 @@ def _add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     yield pa.RecordBatch.from_pydict({"block": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([n], pa.int64()), "total": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
-def fit(docs: DataFrame) -> tuple[Network, np.ndarray]:
+def fit(docs: DataFrame, words: np.ndarray | None = None) -> tuple[Network, np.ndarray]:
     """The network and its weights, learned from all documents."""
     spark = docs.sparkSession
     ship(spark)
-    net = Network(vocabulary(docs))
+    net = Network(vocabulary(docs) if words is None else words)
     network, flat = spark.sparkContext.broadcast(net), net.fresh()
     for turn in range(ROUNDS):
         own = docs.select("text").mapInArrow(_train(network, spark.sparkContext.broadcast(flat), turn), "block int, salt int, n bigint, total binary")
@@ -220,9 +259,13 @@ def fit(docs: DataFrame) -> tuple[Network, np.ndarray]:
     return net, flat
 
 
-def _score(network, weights):
+def _score(network, weights, buckets=None):
+    """Scores of documents. With ``buckets``, the logarithms of their words' counts, also each row's number and its
+    rare words' hashes; a rare word then counts as one of its bucket's words, and the logarithm of its own count is still to add."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, flat = network.value, weights.value
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for first, last, data, offsets in tx.chunks(batch.column("text")):
                 hashes, doc = tx.word_hashes(data, offsets)
@@ -231,12 +274,21 @@ def _score(network, weights):
                 for k in range(0, len(words), 1 << 15):
                     at = np.arange(k, min(k + (1 << 15), len(words)))
                     logp[at] = net.log_probability(flat, net.contexts(words, doc, at), words[at])
+                rare = np.flatnonzero(words >= net.size - net.width)
+                if buckets is not None:
+                    logp[rare] -= buckets.value[words[rare] - (net.size - net.width)]
                 starts = tx.group_starts(doc, last - first)
                 total, n = tx.segment_sum(logp, starts), np.diff(starts)
-                yield pa.RecordBatch.from_pydict({
+                out = {
                     "doc_id": batch.column("doc_id").slice(first, last - first), "n_words": pa.array(n.astype(np.int64)), "log_likelihood": pa.array(total),
                     "mean_log_likelihood": pa.array(total / np.maximum(1, n), mask=n == 0),
-                })
+                }
+                if buckets is not None:
+                    out["row"] = pa.array(np.arange(row, row + last - first))
+                    ends = np.searchsorted(rare, starts).astype(np.int32)
+                    out["rare"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes[rare].view(np.int64)))
+                row += last - first
+                yield pa.RecordBatch.from_pydict(out)
 
     return run
 
@@ -244,7 +296,18 @@ def _score(network, weights):
 def score_documents(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, log_likelihood, mean_log_likelihood."""
     sc = docs.sparkSession.sparkContext
-    net, flat = fit(docs)
+    ship(docs.sparkSession)
+    words, rest = split_words(word_counts(docs))
+    net, flat = fit(docs, words)
+    totals = np.ones(net.width)
+    for r in rest.groupBy(F.col("h").bitwiseAND(F.lit(net.width - 1)).alias("bucket")).agg(F.sum("n").alias("n")).collect():
+        totals[r["bucket"]] = r["n"]
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    run = _score(sc.broadcast(net), sc.broadcast(flat))
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_words bigint, log_likelihood double, mean_log_likelihood double")
+    run = _score(sc.broadcast(net), sc.broadcast(flat), sc.broadcast(np.log(totals)))
+    columns = f"doc_id {id_type}, n_words bigint, log_likelihood double, mean_log_likelihood double, row bigint, rare array<bigint>"
+    scored = staged(docs.select("doc_id", "text").mapInArrow(run, columns), "scored")
+    # A word that occurs once adds the logarithm of 1.
+    own = rest.where("n > 1").select("h", F.round(F.log("n") * FIXED).cast("bigint").alias("own"))
+    added = scored.select("row", F.explode("rare").alias("h")).join(own, "h").groupBy("row").agg(F.sum("own").alias("own"))
+    total = F.col("log_likelihood") + F.coalesce("own", F.lit(0)) / FIXED
+    return scored.drop("rare").join(added, "row", "left").select("doc_id", "n_words", total.alias("log_likelihood"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_log_likelihood"))

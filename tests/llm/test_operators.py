@@ -116,6 +116,37 @@ def test_lm_trains_on_every_position_once(make):
     assert sum(seen) == sum(50 + i for i in range(40))
 
 
+def test_lm_rare_words_have_their_share_of_the_bucket(make):
+    """Words beyond the vocabulary, against the bucket's probability and counts in plain Python."""
+    assert lm.vocabulary_size(404_216) > lm.VOCABULARY and lm.vocabulary_size(10**9) > 3 * lm.vocabulary_size(10**7)
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{min(int(rng.paretovariate(0.2)), 10**9)}" for _ in range(300))) for i in range(60)] + [(0, "w1 rare rare w2")]
+    docs = make(rows)
+    words = lambda t: tx.word_hashes(*tx.raw(pa.array([t])))[0]
+    counts = Counter(w for _, t in rows for w in words(t).tolist())
+    known, rest = lm.split_words(lm.word_counts(docs))
+    assert known.tolist() == sorted(counts, key=lambda w: (-counts[w], np.uint64(w).view(np.int64)))[: lm.vocabulary_size(len(counts))]
+    assert {r.h: r.n for r in rest.collect()} == {int(np.uint64(w).view(np.int64)): n for w, n in counts.items() if w not in set(known.tolist())}
+    net, flat = lm.fit(docs, known)
+    rare = set(counts) - set(known.tolist())
+    bucket = Counter()
+    for w in rare:
+        bucket[w % net.width] += counts[w]
+    assert len(rare) > 500
+    expected = {}
+    for i, t in rows:
+        h = words(t)
+        p = net.log_probability(flat, net.contexts(net.numbers(h), np.zeros(len(h), int), np.arange(len(h))), net.numbers(h)).astype(float)
+        share = [np.log(counts[w] / bucket[w % net.width]) if w in rare else 0 for w in h.tolist()]
+        expected.setdefault(i, []).append(p.sum() + sum(share))
+    got = {}
+    for r in lm.score_documents(docs).collect():
+        got.setdefault(r.doc_id, []).append(r.log_likelihood)
+        assert r.mean_log_likelihood == pytest.approx(r.log_likelihood / r.n_words)
+    assert got.keys() == expected.keys()
+    assert all(sorted(got[i]) == pytest.approx(sorted(expected[i]), rel=1e-3) for i in got)
+
+
 def test_lm_odd(odd):
     got = lm.score_documents(odd).collect()
     assert len(got) == odd.count()
