@@ -16,7 +16,8 @@ about SLICE pieces, whatever the input.
 Tokenizing is by pre-tokens: numpy finds their borders in the code points, each
 distinct one of a worker is given to the tokenizer once, and the ids are
 gathered. Byte-level BPE never merges over such a border, so the ids are those
-of the whole text.
+of the whole text. A text that holds one of the vocabulary's added tokens, such
+as <|endoftext|>, is given to the tokenizer as a whole, which finds them.
 
 Defined cases: null and empty texts are the end token alone, one piece of length
 1; repeated rows are packed as documents of their own; an empty table gives an
@@ -104,7 +105,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.forget()
 
     def forget(self) -> None:
@@ -130,6 +131,20 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as unsigned 32-bit integers."""
         joined = "".join(texts)
+        special = [i for i, t in enumerate(texts) if any(x in t for x in self.added)] if any(x in joined for x in self.added) else []
+        if not special:
+            return self._encode(texts)
+        plain = list(texts)
+        for i in special:
+            plain[i] = ""
+        out = self._encode(plain)
+        for i in special:
+            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+        return out
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts that hold none of the vocabulary's added tokens."""
+        joined = "".join(texts)
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         ends = lengths.cumsum()
         if not joined:

@@ -317,6 +317,15 @@ def test_packing_round_trip(make, monkeypatch):
     assert bins <= 1.1 * sum(r.length for r in got) / 64 + 1
 
 
+def test_added_tokens_are_those_of_the_file_as_loaded():
+    from tokenizers import Tokenizer
+
+    texts = ["plain text", "a <|endoftext|> b", "", "<|endoftext|><|endoftext|>", "x<|endoftext|", "<|endoftext|>", " \n", "it's 12 <|endoftext|>"]
+    tokens, own = packing.Encoder(packing.vocabulary_path()), Tokenizer.from_file(packing.vocabulary_path())
+    want = [x.ids for x in own.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in tokens.encode(texts)] == want and want[1] == [64, 220, 50256, 275]
+
+
 def test_tokens_equal_the_tokenizer():
     rng = random.Random(8)
     bits = ["a", "B", "'", "s", "'ll", " ", "  ", "\n", "\t", "1", "!", "#$", "é", " ", "　", "don't", " 's", "日本", "😀", "'re", "''s", "\r\n", "<|endoftext|>"]
