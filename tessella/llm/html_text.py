@@ -43,10 +43,14 @@ _TOKEN = re.compile(
     re.S,
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+#: An attribute value without quotes at the end of a tag, which a slash belongs to.
+_VALUE = re.compile(r"=\s*[^\s\"'=<>`]+$")
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _PART = re.compile(r"[a-z]+")
 # Element names of HTML by their part in a page.
 RAW = frozenset("script style noscript template textarea title svg math iframe object select head".split())
+#: Elements that a head may hold; any other ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes script style template".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label map mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split()
@@ -55,6 +59,38 @@ CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 SCOPE = frozenset("ul ol dl table body div section article aside nav main header footer form blockquote".split())
 
 
+def _raw_end(page: str, at: int, name: str, attributes: str, unclosed: set[str]) -> int:
+    """Where a raw element whose start tag ends at ``at`` is over. Without an end tag, only script and style take the rest of the page."""
+    if name in ("svg", "math") and attributes.endswith("/") and not _VALUE.search(attributes):
+        return at
+    close = None if name in unclosed else re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+    if close:
+        return close.end()
+    unclosed.add(name)
+    return len(page) if name in ("script", "style") else at
+
+
+def _head_end(page: str, at: int, unclosed: set[str]) -> int:
+    """Where a head is over: at its end tag; without one, before the first text or element that can't be in a head."""
+    text = None
+    while True:
+        m = _TOKEN.search(page, at)
+        stop = m.start() if m else len(page)
+        if text is None and page[at:stop].strip():
+            text = at
+        if not m:
+            break
+        name = (m[2] or m[5] or "").lower()
+        if name == "head" and (m[1] or m[4]):
+            return m.end()
+        if name and name not in IN_HEAD and not (m[1] or m[4]):
+            break
+        at = m.end()
+        if name in RAW and not (m[1] or m[4]):
+            at = _raw_end(page, at, name, m[3] if m[2] else m[6], unclosed)
+    return stop if text is None else text
+
+
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """The page's leaf blocks in order: path words, text, characters inside links."""
     out: list[tuple[tuple[str, ...], str, int]] = []
@@ -64,6 +100,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     in_link = False
     at, size = 0, len(page)
     path: tuple[str, ...] = ()
+    unclosed: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
@@ -92,8 +129,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             continue
         name, end = name.lower(), bool(m[1] or m[4])
         if name in RAW and not end:
-            close = re.compile(rf"</{name}\b[^>]*>" + (r"|(?=<body\b)" if name == "head" else ""), re.I).search(page, at)
-            at = close.end() if close else size
+            at = _head_end(page, at, unclosed) if name == "head" else _raw_end(page, at, name, m[3] if m[2] else m[6], unclosed)
             parts.append(" ")
             continue
         if name == "br":

@@ -358,6 +358,19 @@ def weights():
     return html_text.train(pages=500, epochs=4)
 
 
+def test_html_raw_elements_without_end_tag():
+    texts = lambda page: " ".join(b[1] for b in html_text.blocks(page))
+    assert texts("<html><head><title>t</title><meta charset=utf-8><p>one</p><p>two</p>") == "one two"
+    assert texts("<head><script>if (a < b) x</script><title>t</title>bare text") == "bare text"
+    assert texts("<head>dropped<title>t</title></head><p>one</p>") == "one" == texts("<head><title>t</title><body><p>one</p>")
+    for tag in ("<svg width='1' />", "<svg/>", "<math/>", "<object data=x>", "<select>", "<iframe src=/a/>", "<svg>"):
+        assert texts(f"<p>one</p>{tag}<p>two</p>") == "one two"
+    assert texts("<p>one</p><svg/><p>two</p><svg><text>no</text></svg><p>three</p>") == "one two three"
+    assert texts("<p>one</p><svg href=a/>no</svg><p>two</p>") == "one two"
+    assert texts("<p>one</p><script>no") == "one" == texts("<p>one</p><style>no <p>no")
+    html_text.blocks("<select>" * 50_000 + "<head>" * 50_000)
+
+
 def test_blocks():
     page = "<head><title>t</title></head><script>var a='</p>';</script><p>One &amp; <b>two</b><br>three<!-- no --><ul><li><a href='x>y'>four</a><li>five</ul>six &#x41;\n  b"
     found = html_text.blocks(page)
