@@ -10,15 +10,19 @@ The vocabulary comes from the word counts of the whole corpus: the most frequent
 words, in classes by rank, ``vocabulary_size`` of them, which grows with the
 number of distinct words; so does the width of a class. All other words share one
 class of hash buckets. The probability of such a word is that of its bucket times
-its share of the bucket's words in the whole corpus. Training is data-parallel: in each of ROUNDS rounds every
-partition continues from the common weights on one of ROUNDS parts of its word
-positions, and the weights are averaged, weighted by positions. Every position
-of the corpus is a target exactly once. What is gathered, counts and weights,
-grows with the corpus.
+its share of the bucket's words in the whole corpus.
+
+Training is data-parallel: documents fall by a hash into ROUNDS rounds; in each,
+every partition continues from the common weights on its documents of the round,
+and the weights are averaged, weighted by positions. Every position of the corpus
+is a target exactly once. What is gathered, counts and weights, grows with the
+corpus.
 
 Defined cases: null text and text without words have 0 words, sum 0 and a null
 mean; places before the first and after the last word are a padding word of
-their own; repeated rows score alike; an empty table gives an empty result;
+their own; a text of any length is scored whole, in runs of SCORED positions;
+words of one count are ranked by hash; repeated rows score alike; an empty table
+gives an empty result;
 columns beside doc_id and text aren't read.
 """
 
@@ -40,7 +44,12 @@ VOCABULARY, CLASS, GROWTH = 2048, 64, 32
 #: Logarithms of counts are summed in whole numbers of 1 / FIXED, so the sum doesn't depend on the order.
 FIXED = 1 << 32
 SIDE, EMBED, HIDDEN = 2, 16, 24
-ROUNDS, BATCH, RATE = 2, 512, 0.1
+#: Batches of a partition grow from FIRST positions to BATCH.
+ROUNDS, FIRST, BATCH, RATE = 2, 256, 4096, 0.25
+#: Bits of a hash that find a word of the vocabulary.
+SLOT = 16
+#: Positions that are scored at a time.
+SCORED = 1 << 15
 #: Distinct words that a task counts before it hands them on.
 HELD = 1 << 20
 BLOCKS, SALTS = 8, 16
@@ -119,8 +128,8 @@ class Network:
             self.width *= 2
         self.classes = -(-len(words) // self.width) + 1
         self.size = self.classes * self.width
-        self.order = np.argsort(words)
-        self.sorted = words[self.order]
+        self.words = words
+        self._slots: list[np.ndarray] = []
         shapes = [(self.size + 1, EMBED), (2 * SIDE * EMBED, HIDDEN), (HIDDEN,), (HIDDEN, self.classes), (self.classes,), (self.classes, HIDDEN, self.width), (self.classes, self.width)]
         self.shapes = shapes
         self.ends = np.cumsum([int(np.prod(shape)) for shape in shapes]).tolist()
@@ -133,97 +142,154 @@ class Network:
     def parts(self, flat: np.ndarray) -> list[np.ndarray]:
         return [flat[i:j].reshape(s) for i, j, s in zip([0, *self.ends], self.ends, self.shapes, strict=False)]
 
+    def _tables(self) -> list[np.ndarray]:
+        """Tables by the top SLOT bits of a hash: of each slot's words the first, of the others the second, and so on."""
+        if not self._slots:
+            left = np.arange(len(self.words))
+            while len(left):
+                slots, first = np.unique((self.words[left] >> _U(64 - SLOT)).astype(np.int64), return_index=True)
+                table = np.full(1 << SLOT, -1, np.int32)
+                table[slots] = left[first]
+                self._slots.append(table)
+                left = np.delete(left, first)
+        return self._slots
+
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each word."""
-        rare = self.size - self.width + (hashes % _U(self.width)).astype(np.int64)
-        if not len(self.sorted):
-            return rare
-        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == hashes, self.order[at], rare)
-
-    def contexts(self, words: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Numbers of the SIDE words on either side of the places ``at``; the padding outside the document."""
-        out = np.full((len(at), 2 * SIDE), self.size, np.int64)
-        for k, shift in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
-            to = at + shift
-            inside = (to >= 0) & (to < len(words))
-            inside[inside] &= doc[to[inside]] == doc[at[inside]]
-            out[inside, k] = words[to[inside]]
+        out = self.size - self.width + (hashes % _U(self.width)).astype(np.int64)
+        slot, at = (hashes >> _U(64 - SLOT)).astype(np.int64), None
+        for table in self._tables():
+            found = table[slot if at is None else slot[at]]
+            some = np.flatnonzero(found >= 0)  # a slot without a word here has none in the next table either
+            found, at = found[some], some if at is None else at[some]
+            same = self.words[found] == hashes[at]
+            out[at[same]] = found[same]
+            at = at[~same]
         return out
 
+    def contexts(self, words: np.ndarray, doc: np.ndarray, first: int, last: int) -> np.ndarray:
+        """Numbers of the SIDE words on either side of the places from ``first`` to ``last``; the padding outside the document."""
+        low, high = max(0, first - SIDE), min(len(words), last + SIDE)
+        place = np.arange(low, high)
+        place += SIDE * (doc[low:high] - doc[low])  # so many paddings between two documents
+        padded = np.full(place[-1] - place[0] + 1 + 2 * SIDE, self.size, np.int64)
+        place += SIDE - place[0]
+        padded[place] = words[low:high]
+        place = place[first - low : last - low, None]
+        return padded[place + np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])]
+
     def log_probability(self, flat: np.ndarray, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         e, w1, b1, wc, bc, ww, bw = self.parts(flat)
-        h = np.tanh(e[context].reshape(len(context), -1) @ w1 + b1)
-        cls = target // self.width
-        z = h @ wc + bc
-        z -= z.max(axis=1, keepdims=True)
-        out = z[np.arange(len(z)), cls] - np.log(np.exp(z).sum(axis=1))
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            rows = order[ends[c] : ends[c + 1]]
-            if len(rows):
-                z = h[rows] @ ww[c] + bw[c]
-                z -= z.max(axis=1, keepdims=True)
-                out[rows] += z[np.arange(len(rows)), target[rows] % self.width] - np.log(np.exp(z).sum(axis=1))
+        n = len(target)
+        order, cls, starts = self._by_class(target)
+        context, inner = context[order], target[order] - cls * self.width
+        h, sorted_ = np.empty((n, HIDDEN), np.float32), np.empty(n, np.float32)
+        for i in range(0, n, BATCH):
+            j = min(i + BATCH, n)
+            h[i:j] = _hidden(e, w1, b1, context[i:j])
+            z = h[i:j] @ wc
+            z += bc
+            sorted_[i:j] = _log_softmax(z, cls[i:j])
+        for i, j in zip(starts.tolist(), [*starts[1:].tolist(), n], strict=True):
+            z = h[i:j] @ ww[cls[i]]
+            z += bw[cls[i]]
+            sorted_[i:j] += _log_softmax(z, inner[i:j])
+        out = np.empty(n)
+        out[order] = sorted_
         return out
 
+    def _by_class(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The order of the targets by class, their classes in it, and where each class begins."""
+        cls = target // self.width
+        order = np.argsort(cls.astype(np.uint16) if self.classes < 1 << 16 else cls, kind="stable")
+        cls = cls[order]
+        return order, cls, _starts(cls)
+
     def learn(self, flat: np.ndarray, sums: np.ndarray, context: np.ndarray, target: np.ndarray) -> None:
         """One Adagrad step on a batch, in place."""
         own, past = self.parts(flat), self.parts(sums)
         e, w1, b1, wc, bc, ww, bw = own
-        order, n = np.argsort(target // self.width, kind="stable"), len(target)
-        context, target = context[order], target[order]
-        cls, each = target // self.width, np.arange(n)
-        used, starts = np.unique(cls, return_index=True)
+        order, cls, starts = self._by_class(target)
+        context, inner, n = context[order], target[order] - cls * self.width, len(target)
+        used, each, one = cls[starts], np.arange(n), np.ones(n, np.float32)
         runs = list(zip(used.tolist(), starts.tolist(), [*starts[1:].tolist(), n], strict=True))
-        x = e[context].reshape(n, -1)
-        h = np.tanh(x @ w1 + b1)
-        p = _softmax(h @ wc + bc)
-        p[each, cls] -= 1
-        p /= n
-        q = bw[cls]
+        x = e.take(context.ravel(), axis=0).reshape(n, -1)
+        h = _hidden(e, w1, b1, context, x)
+        p = h @ wc
+        p += bc
+        _softmax(p, n)[each, cls] -= np.float32(1 / n)
+        q = np.empty((n, self.width), np.float32)
         for c, i, j in runs:
-            q[i:j] += h[i:j] @ ww[c]
-        q = _softmax(q)
-        q[each, target % self.width] -= 1
-        q /= n
-        dh, gww = p @ wc.T, np.empty((len(used), HIDDEN, self.width), np.float32)
+            np.matmul(h[i:j], ww[c], out=q[i:j])
+            q[i:j] += bw[c]
+        _softmax(q, n)[each, inner] -= np.float32(1 / n)
+        dh, gww, gbw = p @ wc.T, np.empty((len(used), HIDDEN, self.width), np.float32), np.empty((len(used), self.width), np.float32)
         for k, (c, i, j) in enumerate(runs):
             np.matmul(h[i:j].T, q[i:j], out=gww[k])
+            np.matmul(one[i:j], q[i:j], out=gbw[k])
             dh[i:j] += q[i:j] @ ww[c].T
         dz = dh * (1 - h * h)
         dx = (dz @ w1.T).reshape(-1, EMBED)
-        seen, at = np.unique(context.ravel(), return_inverse=True)
-        ge = np.stack([np.bincount(at, dx[:, k], len(seen)) for k in range(EMBED)], axis=1).astype(np.float32)
-        grads = [ge, x.T @ dz, dz.sum(axis=0), h.T @ p, p.sum(axis=0), gww, np.add.reduceat(q, starts, axis=0)]
+        near = context.ravel()
+        by = np.argsort(near.astype(np.uint16) if self.size < 1 << 16 else near, kind="stable")
+        near = near[by]
+        ends = _starts(near)
+        grads = [np.add.reduceat(dx.take(by, axis=0), ends, axis=0), x.T @ dz, one @ dz, h.T @ p, one @ p, gww, gbw]
+        classes = used if len(used) < self.classes else slice(None)
         # Words and classes that the batch doesn't touch have no gradient, so Adagrad leaves them as they are.
-        for to, total, rows, g in zip(own, past, [seen, *[slice(None)] * 4, used, used], grads, strict=True):
+        for to, total, rows, g in zip(own, past, [near[ends], *[slice(None)] * 4, classes, classes], grads, strict=True):
             total[rows] += g * g
             to[rows] -= RATE * g / np.sqrt(total[rows])
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    p = np.exp(z - z.max(axis=1, keepdims=True))
-    p /= p.sum(axis=1, keepdims=True)
-    return p
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    """Where each value of an ordered, non-empty array begins."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+
+
+def _hidden(e: np.ndarray, w1: np.ndarray, b1: np.ndarray, context: np.ndarray, x: np.ndarray | None = None) -> np.ndarray:
+    h = (e.take(context.ravel(), axis=0).reshape(len(context), -1) if x is None else x) @ w1
+    h += b1
+    return np.tanh(h, out=h)
+
 
+def _exponents(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(z) in place and the rows' sums. Hidden units are within 1 of 0, so the clip only meets weights that have run away."""
+    np.clip(z, -80, 80, out=z)
+    np.exp(z, out=z)
+    return z, z @ np.ones((z.shape[1], 1), np.float32)
 
-def _train(network, weights, turn: int):
+
+def _softmax(z: np.ndarray, n: int) -> np.ndarray:
+    """The rows' softmax over ``n``, in place."""
+    z, total = _exponents(z)
+    total *= n
+    z /= total
+    return z
+
+
+def _log_softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The logarithm of each row's softmax at one place; z is used up."""
+    picked = np.clip(z[np.arange(len(z)), at], -80, 80)
+    return picked - np.log(_exponents(z)[1][:, 0])
+
+
+def _train(network, weights):
     """A partition's weights times its positions, and its positions, in blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, flat = network.value, weights.value.copy()
-        sums, seen = np.full_like(flat, 1e-3), 0
+        sums, seen, step = np.full_like(flat, 1e-3), 0, 0
         for batch in batches:
             for _, _, data, offsets in tx.chunks(batch.column("text")):
                 hashes, doc = tx.word_hashes(data, offsets)
-                at = np.flatnonzero(tx.mix(hashes + np.arange(len(hashes), dtype=_U)) % _U(ROUNDS) == turn)
-                words = net.numbers(hashes)
-                context, target = net.contexts(words, doc, at), words[at]
-                for k in range(0, len(at), BATCH):
-                    net.learn(flat, sums, context[k : k + BATCH], target[k : k + BATCH])
-                seen += len(at)
+                words, at = net.numbers(hashes), 0
+                while at < len(words):
+                    step += 1
+                    last = min(len(words), at + min(BATCH, FIRST * step))
+                    net.learn(flat, sums, net.contexts(words, doc, at, last), words[at:last])
+                    at = last
+                seen += len(words)
         if seen:
             total = np.array_split(flat.astype(np.float64) * seen, BLOCKS)
             salt = int(flat.view(np.uint32).sum(dtype=np.uint64) % _U(SALTS))
@@ -244,6 +310,11 @@ def _add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     yield pa.RecordBatch.from_pydict({"block": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([n], pa.int64()), "total": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
+def of_round(docs: DataFrame, turn: int) -> DataFrame:
+    """The texts that a round learns from; each is in one round."""
+    return docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == turn)
+
+
 def fit(docs: DataFrame, words: np.ndarray | None = None) -> tuple[Network, np.ndarray]:
     """The network and its weights, learned from all documents."""
     spark = docs.sparkSession
@@ -251,7 +322,7 @@ def fit(docs: DataFrame, words: np.ndarray | None = None) -> tuple[Network, np.n
     net = Network(vocabulary(docs) if words is None else words)
     network, flat = spark.sparkContext.broadcast(net), net.fresh()
     for turn in range(ROUNDS):
-        own = docs.select("text").mapInArrow(_train(network, spark.sparkContext.broadcast(flat), turn), "block int, salt int, n bigint, total binary")
+        own = of_round(docs, turn).mapInArrow(_train(network, spark.sparkContext.broadcast(flat)), "block int, salt int, n bigint, total binary")
         schema = "block int, n bigint, total binary"
         rows = own.groupBy("block", "salt").applyInArrow(_add, schema).groupBy("block").applyInArrow(_add, schema).orderBy("block").collect()
         if rows:
@@ -271,9 +342,9 @@ def _score(network, weights, buckets=None):
                 hashes, doc = tx.word_hashes(data, offsets)
                 words = net.numbers(hashes)
                 logp = np.zeros(len(words))
-                for k in range(0, len(words), 1 << 15):
-                    at = np.arange(k, min(k + (1 << 15), len(words)))
-                    logp[at] = net.log_probability(flat, net.contexts(words, doc, at), words[at])
+                for at in range(0, len(words), SCORED):
+                    to = min(at + SCORED, len(words))
+                    logp[at:to] = net.log_probability(flat, net.contexts(words, doc, at, to), words[at:to])
                 rare = np.flatnonzero(words >= net.size - net.width)
                 if buckets is not None:
                     logp[rare] -= buckets.value[words[rare] - (net.size - net.width)]

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -96,7 +97,7 @@ def test_lm_probabilities_sum_to_one_and_learn(make):
     p = net.log_probability(flat, np.repeat(context, net.size, axis=0), np.arange(net.size))
     assert np.exp(p).sum() == pytest.approx(1, abs=1e-4)
     counts = Counter(w for _, t in rows for w in t.split())
-    assert {int(h) for h in net.sorted} == {int(tx.word_hashes(*tx.raw(pa.array([w])))[0][0]) for w in counts}
+    assert {int(h) for h in net.words} == {int(tx.word_hashes(*tx.raw(pa.array([w])))[0][0]) for w in counts}
     got = by_id(lm.score_documents(docs))
     mean = np.mean([r.mean_log_likelihood for r in got.values()])
     assert all(r.n_words == 180 and r.log_likelihood == pytest.approx(180 * r.mean_log_likelihood) for r in got.values())
@@ -112,10 +113,63 @@ def test_lm_trains_on_every_position_once(make):
     net = lm.Network(lm.vocabulary(docs))
     network, flat = sc.broadcast(net), sc.broadcast(net.fresh())
     schema = "block int, salt int, n bigint, total binary"
-    seen = [docs.select("text").mapInArrow(lm._train(network, flat, k), schema).where("block = 0").selectExpr("sum(n) AS n").first().n for k in range(lm.ROUNDS)]
+    seen = [lm.of_round(docs, k).mapInArrow(lm._train(network, flat), schema).where("block = 0").selectExpr("sum(n) AS n").first().n for k in range(lm.ROUNDS)]
     assert sum(seen) == sum(50 + i for i in range(40))
 
 
+def plain_log_probability(net, flat, numbers):
+    """Of one text's words: the windows, the layers and both softmaxes, word by word in float64."""
+    e, w1, b1, wc, bc, ww, bw = (x.astype(float) for x in net.parts(flat))
+    out = []
+    for k, word in enumerate(numbers):
+        near = [numbers[j] if 0 <= j < len(numbers) else net.size for j in (k - 2, k - 1, k + 1, k + 2)]
+        h = np.tanh(np.concatenate([e[j] for j in near]) @ w1 + b1)
+        cls, inner = divmod(int(word), net.width)
+        z, y = h @ wc + bc, h @ ww[cls] + bw[cls]
+        out.append(z[cls] - np.log(np.exp(z).sum()) + y[inner] - np.log(np.exp(y).sum()))
+    return out
+
+
+def test_lm_scores_against_a_plain_network(make, monkeypatch):
+    """Windows, sums and documents of many sizes; a run of positions shorter than the texts and a vocabulary with shared slots."""
+    monkeypatch.setattr(lm, "SCORED", 37)
+    monkeypatch.setattr(lm, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(3000)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(n))) for i, n in enumerate([0, 1, 2, 3, 5, 0, 0, 36, 37, 38, 200, 1, 90])]
+    net = lm.Network(np.unique(tx.word_hashes(*tx.raw(pa.array([" ".join(words[:2500])])))[0])[::-1].copy())
+    assert len(net._tables()) > 1
+    flat = net.fresh() * 3
+    sc = make([(0, "")]).sparkSession.sparkContext
+    run = lm._score(sc.broadcast(net), sc.broadcast(flat))
+    place = {int(h): k for k, h in enumerate(net.words)}
+    for r in (r for b in run(iter([pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]})])) for r in b.to_pylist()):
+        h = [int(x) for w in rows[r["doc_id"]][1].split() for x in tx.word_hashes(*tx.raw(pa.array([w])))[0]]
+        numbers = [place.get(x, net.size - net.width + x % net.width) for x in h]
+        assert r["n_words"] == len(h) and r["log_likelihood"] == pytest.approx(sum(plain_log_probability(net, flat, numbers)), rel=1e-4, abs=1e-4)
+
+
+def test_lm_learns_along_the_gradient():
+    """The first Adagrad step against numerical derivatives of the plain network's mean."""
+    rng = np.random.default_rng(3)
+    net = lm.Network(np.arange(1, 130, dtype=np.uint64) << np.uint64(50))
+    flat = net.fresh()
+    numbers = rng.integers(0, 200, 40)
+    before, sums = flat.copy(), np.full_like(flat, 1e-3)
+    net.learn(flat, sums, net.contexts(numbers, np.zeros(40, int), 0, 40), numbers)
+    gradient = np.sign(before - flat) * np.sqrt(np.maximum(sums - np.float32(1e-3), 0))
+    loss = lambda x: -np.mean(plain_log_probability(net, x, numbers))
+    begins = [0, *net.ends]
+    for k in range(7):
+        spots = begins[k] + rng.integers(0, begins[k + 1] - begins[k], 6)
+        spots = np.append(spots, begins[k] + np.argmax(np.abs(gradient[begins[k] : begins[k + 1]])))
+        for at in spots:
+            up, down = before.astype(float), before.astype(float)
+            up[at] += 1e-4
+            down[at] -= 1e-4
+            assert gradient[at] == pytest.approx((loss(up) - loss(down)) / 2e-4, rel=0.05, abs=2e-3)
+
+
 def test_lm_rare_words_have_their_share_of_the_bucket(make):
     """Words beyond the vocabulary, against the bucket's probability and counts in plain Python."""
     assert lm.vocabulary_size(404_216) > lm.VOCABULARY and lm.vocabulary_size(10**9) > 3 * lm.vocabulary_size(10**7)
@@ -136,7 +190,7 @@ def test_lm_rare_words_have_their_share_of_the_bucket(make):
     expected = {}
     for i, t in rows:
         h = words(t)
-        p = net.log_probability(flat, net.contexts(net.numbers(h), np.zeros(len(h), int), np.arange(len(h))), net.numbers(h)).astype(float)
+        p = net.log_probability(flat, net.contexts(net.numbers(h), np.zeros(len(h), int), 0, len(h)), net.numbers(h)).astype(float)
         share = [np.log(counts[w] / bucket[w % net.width]) if w in rare else 0 for w in h.tolist()]
         expected.setdefault(i, []).append(p.sum() + sum(share))
     got = {}
