@@ -566,10 +566,41 @@ def test_mixing(make):
 
 def test_tree_is_exact():
     quotas = np.array([100, 7, 0, 53])
-    counts = mixing._tree(quotas, 6, np.random.Generator(np.random.PCG64(1)))
+    counts = mixing._tree(quotas, [1] * 6, np.random.Generator(np.random.PCG64(1)))
     assert counts.shape == (6, 4) and counts.sum(axis=0).tolist() == quotas.tolist() and set(counts.sum(axis=1).tolist()) <= {26, 27}
 
 
+def test_subtrees_deal_every_ticket_once(spark):
+    """More shards than subtrees: sources' shares of each shard differ from the exact ones by chance only."""
+    ticket = spark.range(3000).selectExpr("CAST(id % 10 < 3 AS int) AS _rank", "CAST(CASE WHEN id % 10 < 3 THEN id div 10 * 3 + id % 10 ELSE id div 10 * 7 + id % 10 - 3 END AS bigint) AS _n")
+    rows = mixing.deal(ticket, 10, 3, nodes=3).select("_rank", "_n", "shard").collect()
+    assert len({(r._rank, r._n) for r in rows}) == len(rows) == 3000
+    sizes = Counter(r.shard for r in rows)
+    assert set(sizes) == set(range(10)) and max(sizes.values()) - min(sizes.values()) <= 2
+    assert all(abs(n - 90) < 45 for n in Counter(r.shard for r in rows if r._rank == 1).values())
+
+
+def test_mixing_without_broadcasts(make, monkeypatch):
+    """Tables beyond the bound of broadcasts: salted sources, blocks joined by key."""
+    rng = random.Random(14)
+    docs = make([(i, prose(rng, rng.choice([0, 3, 10])), None, rng.choice(["a", None, "hot", "hot", "hot"])) for i in range(300)])
+    want = by_id(mixing.taken(docs, shards=5, blocks=200))
+    monkeypatch.setattr(mixing, "BROADCAST", 0)
+    assert by_id(mixing.taken(docs, shards=5, blocks=200)) == want
+
+
+def test_places_are_prefix_sums(spark):
+    runs = spark.range(700).selectExpr("CAST(id % 7 = 0 AS int) AS _rank", "CAST(id AS int) AS _block", "id % 13 AS _words")
+    by = defaultdict(list)
+    for r in mixing._running(runs, 700, 8).collect():
+        by[r._rank].append((r._place, r._before, r._words))
+    for places in by.values():
+        before = 0
+        for k, (place, start, words) in enumerate(sorted(places)):
+            assert (place, start) == (k, before)
+            before += words
+
+
 def test_mixing_odd(odd):
     got = mixing.taken(odd).collect()
     assert len(got) == odd.count() and all(r.taken <= 2 * r.size for r in got)
