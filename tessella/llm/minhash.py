@@ -11,11 +11,14 @@ concentration of BINS independent hashes.
 
 Documents with equal sets are one class. Classes whose sketches agree in a band
 (four coordinates of 32 bands: a pair at 0.75 is missed once in 200,000) are
-candidates. First each class is compared with one centre, that of its buckets
-with which it shares most bands; a bucket's centre is the member whose buckets
-are the fullest. Where a bucket still holds several components, the components
-that meet in such buckets form a cluster, and all pairs of a cluster's classes
-that aren't in its largest component together are compared, block by block:
+candidates. First each class is compared with one centre, of those of its buckets
+whose set's size allows a link that with which it shares most bands; a bucket's
+centre is the member whose buckets are the fullest. Where a bucket still holds
+several components, the components that meet in such buckets form a cluster. Sets
+that link differ in size by a third at most, so a cluster is cut into windows of
+sizes, each two steps of 4/3 wide and beginning a step after the one before: what
+may link meets in a window. All pairs of a window's classes that aren't in its
+largest component together are compared, block by block:
 blocks of BLOCK texts meet two at a time in a task, which counts the shingles of
 all their pairs by posting lists. So no pair is ever a row, no task holds more
 than two blocks, and no link between candidates is lost. Every link is confirmed
@@ -23,19 +26,21 @@ on the two whole sets.
 
 Defined cases: null text has no words, n_shingles 0 and no links; a document of
 one to four words has one shingle, its whole sequence; a null doc_id links with
-nothing and has component_id null and kept true; repeated rows have one
-component, that of their doc_id; ties don't occur, since the smallest doc_id is
-the component's; an empty table gives an empty result; columns beside doc_id and
-text aren't read.
+nothing and has component_id null and kept true; doc_id is read as a bigint, so
+an id that isn't one is an error; a text of any length is one set, made at once;
+repeated rows have one component, that of their doc_id; ties don't occur, since
+the smallest doc_id is the component's; an empty table gives an empty result;
+columns beside doc_id and text aren't read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import textops as tx
@@ -49,6 +54,8 @@ MATCH, OF = 75, 100
 BLOCK = 400
 #: Links that one task may join into components; more are contracted by all tasks together.
 LOCAL = 50_000
+#: Pairs of a centre, at least, and share of all pairs beyond which it is joined in copies; copies at most.
+HOT, HOT_SHARE, COPIES = 1000, 10_000, 64
 #: Pairs of postings that are counted at a time.
 POSTINGS = 1 << 21
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -208,9 +215,23 @@ def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"node": pa.array(out, pa.int64()), "to": pa.array([find(up, x) for x in out], pa.int64())})
 
 
+def may_link(x: Column, y: Column) -> Column:
+    """True where two sets of these sizes are close enough to link."""
+    return OF * F.least(x, y) >= MATCH * F.greatest(x, y)
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) those that link, each compared on the whole sets of both."""
-    both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+    """Of the pairs (a, b) those that link, each compared on the whole sets of both.
+
+    A centre b of more than HOT pairs, or a 1 / HOT_SHARE of all, is joined as several copies, each with a part of
+    its pairs; there are fewer than HOT_SHARE such centres, so the table of them is broadcast.
+    """
+    limit = max(HOT, pairs.count() // HOT_SHARE)
+    hot = staged(pairs.groupBy("b").agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select("b", F.least(F.lit(COPIES), F.ceil(F.col("_n") / limit)).cast("int").alias("_copies")), "centres")
+    copies = F.coalesce("_copies", F.lit(1))
+    left = pairs.join(F.broadcast(hot), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), copies).cast("int").alias("_copy"))
+    right = texts.toDF("b", "text_b").join(F.broadcast(hot), "b", "left").select("b", "text_b", F.explode(F.sequence(F.lit(0), copies - 1)).alias("_copy"))
+    both = left.join(texts.toDF("a", "text_a"), "a").join(right, ["b", "_copy"])
     return staged(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a bigint, b bigint"), "links", batch=1000)
 
 
@@ -246,15 +267,19 @@ def merge_components(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def _between(own: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links between the components of each cluster: rows (rep, comp, cluster) against each other, in blocks.
+    """Links between the components of each cluster: rows (rep, comp, cluster, size) against each other, in blocks.
 
-    A cluster's largest component is its main one; pairs inside it aren't
-    compared. The other classes' blocks meet each other and the main ones'.
-    Clusters smaller than a block share blocks.
+    From here on a cluster is one window of sizes of one of them. Its largest
+    component is its main one; pairs inside it aren't compared. The other classes'
+    blocks meet each other and the main ones'. Clusters smaller than a block share
+    blocks.
     """
+    # a step is wider than OF / MATCH by a hair, so that rounding can't part sizes that are exactly that far from each other
+    step = F.floor(F.log(F.col("size") * 1.0) / F.lit(math.log(OF / MATCH) * (1 + 1e-9)))
+    own = own.withColumn("_w", F.explode(F.array(step - 1, step))).withColumn("cluster", F.xxhash64("cluster", "_w")).drop("_w", "size")
     sizes = own.groupBy("cluster", "comp").agg(F.count("*").alias("c"))
     sizes = sizes.groupBy("cluster").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("n_main"), (F.sum("c") - F.max("c")).alias("n_rest"))
-    sizes = staged(sizes, "sizes")
+    sizes = staged(sizes.where("n_rest > 0"), "sizes")
     small = F.col("n_main") + F.col("n_rest") <= BLOCK
     few = sizes.where(small).agg(F.coalesce(F.sum(F.col("n_main") + F.col("n_rest")), F.lit(0))).first()[0]
     rows = own.join(sizes, "cluster").withColumns({
@@ -284,23 +309,23 @@ def components(docs: DataFrame) -> DataFrame:
 
     size = 2 * BINS // BANDS
     key = F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, substring(sketch, {size} * b + 1, {size})))")
-    bands = reps.select("rep", F.explode(key).alias("key"))
+    bands = reps.select("rep", F.col("n_shingles").alias("size"), F.explode(key).alias("key"))
     buckets = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = staged(bands.join(staged(buckets, "buckets"), "key"), "members")
     degree = members.groupBy("rep").agg(F.sum("n").alias("degree"))
     ranked = staged(members.join(degree, "rep"), "ranked")
-    centres = ranked.groupBy("key").agg(F.max_by("rep", F.struct("degree", "rep")).alias("centre"))
-    near = ranked.join(staged(centres, "centres"), "key").where("rep <> centre").groupBy("rep", "centre").agg(F.count("*").alias("n"))
+    centres = ranked.groupBy("key").agg(F.max_by(F.struct("rep", "size"), F.struct("degree", "rep")).alias("_c")).select("key", F.col("_c.rep").alias("centre"), F.col("_c.size").alias("_size"))
+    near = ranked.join(staged(centres, "centres"), "key").where((F.col("rep") != F.col("centre")) & may_link(F.col("size"), F.col("_size"))).groupBy("rep", "centre").agg(F.count("*").alias("n"))
     pairs = near.groupBy("rep").agg(F.max_by("centre", F.struct("n", "centre")).alias("b")).withColumnRenamed("rep", "a")
     texts = staged(docs.join(members.select("rep").distinct(), docs["doc_id"] == F.col("rep"), "left_semi"), "texts")
     labels = merge_components(None, _confirmed(staged(pairs, "pairs"), texts))
 
-    state = members.join(labels.toDF("rep", "comp"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
+    state = members.join(labels.toDF("rep", "comp"), "rep", "left").select("key", "rep", "size", F.coalesce("comp", "rep").alias("comp"))
     state = staged(state, "state")
     mixed = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
     state = staged(state.join(staged(mixed.select("key", "lo"), "mixed"), "key"), "open")
     clusters = merge_components(None, state.where("comp <> lo").select(F.col("lo").alias("a"), F.col("comp").alias("b")))
-    own = state.select("rep", "comp").distinct().join(clusters.toDF("comp", "cluster"), "comp")
+    own = state.select("rep", "comp", "size").distinct().join(clusters.toDF("comp", "cluster"), "comp")
     own = staged(own, "clusters")
     labels = merge_components(labels, _between(own, texts))
 

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and on odd tables."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -259,6 +260,27 @@ def test_near_duplicates_against_brute_force(make, monkeypatch):
     assert all(r.kept == (i == r.component_id) for i, r in got.items())
 
 
+def test_near_duplicates_with_hot_centres_and_sizes_a_third_apart(make, monkeypatch):
+    """Copies of a hot centre's text, and sets whose sizes are at the limit of a link."""
+    monkeypatch.setattr(minhash, "HOT", 4)
+    monkeypatch.setattr(minhash, "HOT_SHARE", 10)
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(900)]
+    texts = [" ".join(words[:n]) for n in (7, 8, 10, 12, 16, 22, 28, 40, 52, 68, 84, 112, 148, 196, 260, 346, 460)]  # n - 4 shingles each, one in the next
+    texts += near_copies(rng, " ".join(words[500:620]), 40, 4) + near_copies(rng, " ".join(words[560:680]), 20, 4)
+    rows = list(enumerate(texts))
+    got = by_id(minhash.components(make(rows)))
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute_components(rows)
+
+
+def test_size_windows_hold_all_that_may_link():
+    step = lambda n: math.floor(math.log(n * 1.0) / (math.log(minhash.OF / minhash.MATCH) * (1 + 1e-9)))
+    for x in (1, 2, 3, 9, 27, 48, 81, 3**9, 3 * 4**10, 3**18, 10**7):
+        for y in (x, x * 4 // 3):
+            assert step(y) - step(x) in (0, 1)
+
+
 def test_distributed_contraction(spark, monkeypatch):
     monkeypatch.setattr(minhash, "LOCAL", 3)
     rng = random.Random(4)
