@@ -102,8 +102,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     The bound is the documented parameter of the callers: the sample is drawn by
     a hash of doc_id, so it is the same on every run and its size doesn't grow
     with the corpus. Only ids that pass ``usable`` can be drawn. Contradicting
-    or null labels are left out. The ids (at most ``4 * per_class``) are
-    broadcast, the documents are scanned once.
+    or null labels are left out. The ids (about ``2 * per_class``, and at most
+    ``4 * per_class``) are broadcast, the documents are scanned once. Of rows with
+    the same doc_id the one with the least text is drawn.
     """
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & usable)
@@ -115,6 +116,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
         drawn = drawn | ((F.col("y") == y) & hash_share("doc_id", per_class / max(n, 1), seed))
     ids = known.where(drawn).select("doc_id", "y").limit(4 * per_class)
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = text.join(F.broadcast(ids), "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    rows = text.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: r["doc_id"])
     return rows, counts

@@ -11,9 +11,12 @@ hash; ids whose crc32 modulo 4 is 2 are never learned from. labels, lang, source
 and doc_id are no inputs. Every whole text is scored.
 
 Defined cases: null text counts as empty and is scored from its statistics; a
-null n_chars has a bin of its own; contradicting or null labels are left out;
-without labels of both classes every score is 0; a null doc_id counts as not
-held out and isn't learned from; other columns aren't read.
+text of any length is scored whole; a null n_chars has a bin of its own;
+contradicting or null labels are left out; a doc_id that occurs several times is
+learned from once, by its least row; repeated rows are scored alike; a score of
+exactly THRESHOLD is predicted 1; without labels of both classes every score is
+0; a null doc_id counts as not held out and isn't learned from; an empty table
+gives an empty result; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -188,7 +191,8 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> pa.Table:
     for r in known.groupBy("y").agg(F.count("*").alias("n")).collect():
         drawn = drawn | ((F.col("y") == r["y"]) & hash_share("doc_id", per_class / r["n"]))
     ids = F.broadcast(known.where(drawn).select("doc_id", "y").limit(4 * per_class))
-    return _inputs(docs).join(ids, "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    rows = _inputs(docs).join(ids, "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct("text", "n_chars")).alias("_d"))
+    return rows.select("doc_id", "y", "_d.*").toArrow().sort_by([("doc_id", "ascending")])
 
 
 def quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:

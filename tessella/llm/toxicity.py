@@ -7,12 +7,17 @@ bucket's vector is folded with the softmax weights into one logit, and a
 document's logit is the mean of those of its n-grams. Every whole text is scored.
 
 The model learns from about ``per_class`` labelled documents of each class,
-drawn by a hash; ids whose crc32 modulo 3 is 1 are never learned from.
-
-Defined cases: null and empty texts have the score of the bias alone; labels
-that contradict each other or are null are left out; without labels of both
-classes every score is 0; a null doc_id counts as not held out and isn't learned
-from; columns beside doc_id and text aren't read.
+drawn by a hash; ids whose crc32 modulo 3 is 1 are never learned from. The bias
+is set so that THRESHOLD is where the F1 of all labels is best, as two models
+find it that each score the half of the sample which the other learned from.
+
+Defined cases: null and empty texts have the score of the bias alone; a text of
+any length is scored whole; labels that contradict each other or are null are
+left out; a doc_id that occurs several times is learned from once, by its least
+text; repeated rows are scored alike; without labels of both classes every score
+is 0; thresholds of equal F1 go by the higher one; a null doc_id counts as not
+held out and isn't learned from; an empty table gives an empty result; columns
+beside doc_id and text aren't read.
 """
 
 from __future__ import annotations
@@ -30,14 +35,14 @@ from tessella.llm.common import id_crc, labelled_sample, ship
 BITS = 18
 ORDERS = (3, 4, 5)
 SIZE = 8
-PER_CLASS = 1500
+PER_CLASS = 4000
 EPOCHS = 20
 BATCH = 128
 RATE = 0.05
 #: The mean of thousands of n-grams is small; it is scaled by this before the softmax.
 SCALE = 300.0
-#: N-grams seen in fewer training texts keep a zero vector, as unseen ones do.
-LEAST = 5
+#: N-grams of fewer training texts keep a zero vector, as unseen ones do: they only tell which texts those are.
+LEAST = 3
 DECAY = 1e-4
 THRESHOLD = 0.7
 
@@ -75,20 +80,13 @@ def sparse(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(starts), np.concatenate(columns), np.concatenate(weights)
 
 
-def train(texts: list[str], labels: list[int], odds: float | None = None, epochs: int = EPOCHS, seed: int = 10) -> tuple[np.ndarray, float]:
-    """Folded logits per bucket and the bias: embeddings [bucket, SIZE] and softmax weights [SIZE, 2] by Adam.
-
-    ``odds`` are those of label 1 among all labels; the bias is moved from the
-    sample's odds to them, since the sample holds as many documents of each class.
-    """
-    if len(set(labels)) < 2:
-        return np.zeros((1 << BITS) + 1, np.float32), -50.0
+def _fit(rows: np.ndarray, starts: np.ndarray, columns: np.ndarray, weights: np.ndarray, y: np.ndarray, epochs: int, seed: int) -> tuple[np.ndarray, ...]:
+    """The buckets of some rows, their embeddings [bucket, SIZE], the softmax weights [SIZE, 2] and biases, learned together by Adam."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    y = np.array(labels, np.float64)
-    starts, columns, weights = sparse(texts)
-    used, columns, times = np.unique(columns, return_inverse=True, return_counts=True)
-    common = times >= min(LEAST, 1 + len(labels) // 50)  # a bucket of few texts only tells which texts they are
-    weights = weights * common[columns]
+    times = np.bincount(columns[_places(starts, rows)], minlength=1 << BITS)
+    weights, used = weights * (times >= LEAST)[columns], np.flatnonzero(times >= LEAST)
+    at_used = np.zeros(1 << BITS, np.int32)
+    at_used[used] = np.arange(len(used))
     e = rng.normal(0, 0.1, (len(used), SIZE)).astype(np.float32)
     w = rng.normal(0, 0.5, (SIZE, 2)).astype(np.float32)
     bias = np.zeros(2)
@@ -96,12 +94,12 @@ def train(texts: list[str], labels: list[int], odds: float | None = None, epochs
     step = 0
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs)
-        order = rng.permutation(len(y))
-        for k in range(0, len(y), BATCH):
+        order = rows[rng.permutation(len(rows))]
+        for k in range(0, len(order), BATCH):
             docs = order[k : k + BATCH]
-            at = np.concatenate([np.arange(starts[d], starts[d + 1]) for d in docs])
+            at = _places(starts, docs)
             row = np.repeat(np.arange(len(docs)), starts[docs + 1] - starts[docs])
-            col, x = columns[at], SCALE * weights[at]
+            col, x = at_used[columns[at]], SCALE * weights[at]
             z = np.stack([np.bincount(row, x * (e @ w[:, c])[col], len(docs)) for c in (0, 1)], axis=1) + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
@@ -113,10 +111,55 @@ def train(texts: list[str], labels: list[int], odds: float | None = None, epochs
                 m += 0.1 * (grad - m)
                 v += 0.001 * (grad * grad - v)
                 x_ -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return used, e, w, bias
+
+
+def folded(used: np.ndarray, e: np.ndarray, w: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, float]:
+    """One logit of label 1 per bucket, 0 for buckets that weren't learned, and the bias."""
     out = np.zeros((1 << BITS) + 1, np.float32)
-    out[used] = np.where(common, SCALE * (e @ (w[:, 1] - w[:, 0])), 0)
-    shift = np.log(odds * (len(y) - y.sum()) / y.sum()) if odds else 0.0
-    return out, float(bias[1] - bias[0] + shift)
+    out[used] = SCALE * (e @ (w[:, 1] - w[:, 0]))
+    return out, float(bias[1] - bias[0])
+
+
+def _places(starts: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Where the entries of some rows stand, row by row."""
+    size = starts[rows + 1] - starts[rows]
+    ends = size.cumsum()
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[rows] - ends + size, size)
+
+
+def best_threshold(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """The logit from which on label 1 has the best F1, between two rows' logits."""
+    order = np.argsort(-z, kind="stable")
+    z, y, weight = z[order], y[order], weight[order]
+    hit = np.cumsum(weight * (y == 1))
+    f1 = 2 * hit / (np.cumsum(weight) + hit[-1])
+    f1[:-1][z[:-1] == z[1:]] = -1  # equal logits fall together
+    k = int(f1.argmax())
+    return float((z[k] + z[min(k + 1, len(z) - 1)]) / 2)
+
+
+def train(texts: list[str], labels: list[int], counts: dict[int, int] | None = None, epochs: int = EPOCHS, seed: int = 10) -> tuple[np.ndarray, float]:
+    """Folded logits per bucket and the bias. ``counts`` are those of all labels; the sample's rows stand for them."""
+    y = np.array(labels, np.int64)
+    sample = np.bincount(y, minlength=2)
+    if not sample[0] or not sample[1]:
+        return np.zeros((1 << BITS) + 1, np.float32), -50.0
+    starts, columns, weights = sparse(texts)
+    fit = lambda rows: folded(*_fit(rows, starts, columns, weights, y, epochs, seed))
+    every = np.arange(len(y))
+    place = np.zeros(len(y), np.int64)
+    for label in (0, 1):
+        place[y == label] = np.arange(sample[label])
+    z = np.zeros(len(y))
+    for half in (0, 1):
+        logits, bias = fit(every[place % 2 != half])
+        rows = every[place % 2 == half]
+        at = _places(starts, rows)
+        z[rows] = bias + np.bincount(np.repeat(np.arange(len(rows)), starts[rows + 1] - starts[rows]), logits[columns[at]] * weights[at], len(rows))
+    weight = np.array([(counts or {}).get(k, n) / n for k, n in enumerate(sample.tolist())])[y]
+    logits, bias = fit(every)
+    return logits, bias + float(np.log(THRESHOLD / (1 - THRESHOLD))) - best_threshold(z, y, weight)
 
 
 def score(texts: list[str], logits: np.ndarray, bias: float) -> np.ndarray:
@@ -150,8 +193,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     spark = docs.sparkSession
     ship(spark)
     rows, counts = labelled_sample(docs, labels, "toxic", ~held_out(), per_class)
-    odds = counts[1] / counts[0] if counts.get(0) and counts.get(1) else None
-    model = spark.sparkContext.broadcast(train([r["text"] for r in rows], [int(r["y"]) for r in rows], odds))
+    model = spark.sparkContext.broadcast(train([r["text"] for r in rows], [int(r["y"]) for r in rows], {int(y): n for y, n in counts.items()}))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     held = docs.select("doc_id", held_out().alias("held_out"), "text")
     return held.mapInArrow(_scorer(model), f"doc_id {id_type}, held_out boolean, score double, predicted int")

@@ -65,17 +65,40 @@ def test_language_on_held_out(make):
     assert sum(got[i].lang_pred == lang for i, lang in held) >= 0.95 * len(held)
 
 
-def test_language_scores_are_naive_bayes():
-    rows = [("aba bab", "x"), ("cdc ddc", "y")]
-    names, matrix = langid.train(rows)
-    text = "abc dba"
-    total = np.zeros(2)
-    for buckets, _, ok in langid._grams([text]):
-        for b in buckets[ok]:
-            total += matrix[b]
-    want = np.exp(total - total.max())
-    lang, p = langid.score([text, "...", ""], names, matrix)
-    assert lang == [names[int(total.argmax())], "und", "und"] and p[0] == pytest.approx(want.max() / want.sum(), rel=1e-4) and p[1] == 0
+def plain_grams(text):
+    """Buckets of the single letters and of two and three neighbours, one blank before, between and after words."""
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    line = " " + " ".join(words) + " "
+    out = []
+    for n in (1, 2, 3):
+        for k in range(len(line) - n + 1 if words else 0):
+            if n > 1 or line[k] != " ":
+                codes = np.array([0 if c == " " else ord(c) for c in line[k : k + n]], np.uint32)
+                out.append(int(tx.ngrams(codes, n, langid.BITS)[0]))
+    return out
+
+
+def test_languages_against_plain_naive_bayes(make):
+    """The whole operator against counts and sums in plain Python; more languages than any table of them would have."""
+    rng = random.Random(31)
+    names = [f"l{k:02d}" for k in range(30)]
+    rows = [(i, prose(rng, rng.randint(3, 20), "abcdefghijklmnopqrstuvwxyzäé"[k % 20 : k % 20 + 9]), names[k], None) for i in range(240) for k in [i % 30]]
+    usable = [(t, lang) for i, t, lang, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    counts = {n: np.full(1 << langid.BITS, 0.5) for n in {lang for _, lang in usable}}
+    for t, lang in usable:
+        np.add.at(counts[lang], plain_grams(t), 1)
+    order = sorted(counts)
+    logs = {n: np.log(counts[n] / counts[n].sum()) for n in order}
+    for r in langid.identify(make(rows)).collect():
+        total = np.array([logs[n][plain_grams(rows[r.doc_id][1])].sum() for n in order])
+        p = np.exp(total - total.max())
+        assert r.lang_pred == order[int(total.argmax())] and r.score == pytest.approx(1 / p.sum(), rel=1e-3)
+
+
+def test_language_scores_of_texts_without_letters():
+    names, matrix = langid.log_probabilities({"x": langid.tally(["aba bab"]), "y": langid.tally(["cdc ddc"])})
+    lang, p = langid.score(["aab", "...", "", "zzz"], names, matrix)
+    assert lang[:3] == ["x", "und", "und"] and p[0] > 0.9 and p[1] == p[2] == 0 and lang[3] == "x"  # a tie goes by name
 
 
 def test_language_filter_and_odd(odd):
@@ -673,6 +696,61 @@ def test_toxicity_catches_misspellings(spark, make):
     assert got[1000].score > 0.5 > got[1001].score
 
 
+def test_toxic_scores_are_a_softmax_over_mean_embeddings():
+    rng = random.Random(15)
+    texts = [prose(rng, 12) + (" vilewörd" if k % 3 == 0 else "") for k in range(60)] + ["", "ab"]
+    y = np.array([int("vile" in t) for t in texts])
+    used, e, w, bias = toxicity._fit(np.arange(40), *toxicity.sparse(texts), y, 6, 1)
+    got = toxicity.score(texts, *toxicity.folded(used, e, w, bias))
+    place = {int(b): k for k, b in enumerate(used)}
+    for text, p in zip(texts, got, strict=True):
+        vectors, n = np.zeros(toxicity.SIZE), 0
+        for word in re.findall(r"[a-zäöü]+", text):
+            for size in toxicity.ORDERS:
+                padded = f" {word} "
+                for k in range(len(padded) - size + 1):
+                    codes = np.array([0 if c == " " else ord(c) for c in padded[k : k + size]], np.uint32)
+                    bucket = int(tx.ngrams(codes, size, toxicity.BITS)[0])
+                    vectors += e[place[bucket]] if bucket in place else 0
+                    n += 1
+        z = toxicity.SCALE * vectors / max(1, n) @ w + bias
+        assert p == pytest.approx(np.exp(z[1]) / np.exp(z).sum(), rel=1e-3)
+    assert got[40:60][y[40:60] == 1].min() > got[40:60][y[40:60] == 0].max()  # unseen texts are parted
+
+
+def test_best_threshold_against_all_thresholds():
+    rng = np.random.default_rng(2)
+    y = (rng.random(80) < 0.3).astype(int)
+    z = np.round(rng.normal(0, 1, 80) + 1.5 * y, 1)
+    weight = np.where(y == 1, 1.0, 4.0)
+    f1 = lambda t: 2 * weight[(z >= t) & (y == 1)].sum() / (weight[z >= t].sum() + weight[y == 1].sum())
+    assert f1(toxicity.best_threshold(z, y, weight)) == pytest.approx(max(f1(t) for t in z))
+
+
+def plain_machine(model, features):
+    """The factorisation machine's sum over all pairs, one by one."""
+    w0, w, v = model
+    total = float(w0) + sum(float(w[i]) * x for i, x in features)
+    for a, (i, x) in enumerate(features):
+        for j, z in features[:a]:
+            total += float(v[i] @ v[j]) * x * z
+    return total
+
+
+def test_quality_scores_are_a_factorisation_machine_and_its_gradient():
+    rng = np.random.default_rng(4)
+    model = (np.float32(0.3), rng.normal(0, 0.3, quality_fm.WIDTH).astype(np.float32), rng.normal(0, 0.3, (quality_fm.WIDTH, quality_fm.FACTORS)).astype(np.float32))
+    texts = ["one two two three", "", "### a|b $$ a a a a a a a a a a", "x" * 50 + "\n\nHello WORLD 12"]
+    column, recorded = pa.array(texts), np.array([3, -1, 40, 900])
+    got = quality_fm.score(model, column, recorded)
+    for first, last, starts, numbers, values in quality_fm.features(column, recorded):
+        for d in range(first, last):
+            own = list(zip(numbers[starts[d - first] : starts[d - first + 1]].tolist(), values[starts[d - first] : starts[d - first + 1]].tolist(), strict=True))
+            words = [w for w in WORD.findall(texts[d].lower())]
+            assert len(own) == len(set(words)) + len(quality_fm.STATS) and sum(x for i, x in own if i < 1 << quality_fm.BITS) == pytest.approx(1 if words else 0)
+            assert got[d] == pytest.approx(1 / (1 + np.exp(-plain_machine(model, own))), rel=1e-4)
+
+
 @pytest.mark.parametrize("operator", [quality_fm.quality, toxicity.toxicity])
 def test_classifiers_odd(spark, odd, operator):
     schema = "doc_id bigint, quality int, toxic int"
