@@ -1,4 +1,4 @@
-"""Operator 6, main text of HTML pages: a recurrent block labeller.
+r"""Operator 6, main text of HTML pages: a recurrent block labeller.
 
 A page is cut into leaf blocks, the text between two block-level tags. Each
 block is a vector: its hashed tag path (element names, class and id words of all
@@ -12,11 +12,15 @@ adverts, notices, sidebars, forms, reader comments and footers around or inside
 articles of different mark-up. Training takes a few seconds on the driver; the
 weights (about 200 KB) are broadcast.
 
+White space is ``[\x20\x09-\x0D]``, so no-break spaces stay as they are. The
+text of formulas and of an object's fallback is text; drawings (svg) are mark-up.
+
 Defined cases: null html and pages without main blocks give an empty text; raw
 text elements, comments and the head are never blocks; a page of any length is
-read whole; a broken tag ends at its next ``>``; repeated rows are extracted
-alike; an empty table gives an empty result; columns beside page_id, url and
-html aren't read.
+read whole; a broken tag ends at its next ``>``; a block whose probability is
+exactly one half is main text; repeated rows are extracted alike; an empty table
+gives an empty result; columns beside page_id, url and html aren't read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ from tessella.llm.common import ship
 
 PATH, WORDS, COUNTS, HIDDEN = 96, 32, 8, 24
 INPUT = PATH + WORDS + COUNTS
-PAGES, EPOCHS, BATCH, RATE = 1000, 5, 32, 0.01
+PAGES, EPOCHS, BATCH, RATE = 1600, 6, 32, 0.01
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
@@ -48,12 +52,13 @@ _VALUE = re.compile(r"=\s*[^\s\"'=<>`]+$")
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _PART = re.compile(r"[a-z]+")
 # Element names of HTML by their part in a page.
-RAW = frozenset("script style noscript template textarea title svg math iframe object select head".split())
+RAW = frozenset("script style noscript template textarea title svg iframe select head annotation annotation-xml".split())
 #: Elements that a head may hold; any other ends it.
 IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes script style template".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label map mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label map mark object param q ruby rt rp s samp small span strike strong sub sup time tt u var wbr "
+    "math semantics mrow mi mn mo ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mprescripts mpadded mphantom menclose mstyle merror mtable mtr mtd".split()
 )
 CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table body div section article aside nav main header footer form blockquote".split())
@@ -61,7 +66,7 @@ SCOPE = frozenset("ul ol dl table body div section article aside nav main header
 
 def _raw_end(page: str, at: int, name: str, attributes: str, unclosed: set[str]) -> int:
     """Where a raw element whose start tag ends at ``at`` is over. Without an end tag, only script and style take the rest of the page."""
-    if name in ("svg", "math") and attributes.endswith("/") and not _VALUE.search(attributes):
+    if name == "svg" and attributes.endswith("/") and not _VALUE.search(attributes):
         return at
     close = None if name in unclosed else re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
     if close:
@@ -362,8 +367,8 @@ def generated_page(rng: random.Random) -> tuple[str, set[str]]:
     def clean(text: str) -> str:
         return _SPACE.sub(" ", entities.unescape(text)).strip(" ")
 
-    def attribute(kind: str) -> str:
-        if rng.random() < 0.2:
+    def attribute(kind: str, sure: bool = False) -> str:
+        if not sure and rng.random() < 0.2:
             return ""
         names = [rng.choice(FURNITURE[kind][0].split())] + ([rng.choice(PLAIN)] if rng.random() < 0.3 else [])
         return f' {rng.choice(["class", "class", "id"])}="{rng.choice(["-", " ", "_"]).join(names)}"'
@@ -372,27 +377,33 @@ def generated_page(rng: random.Random) -> tuple[str, set[str]]:
         items = [f'<a href="/{word()}">{words(rng.randint(1, 4), kind)}</a>' for _ in range(n)]
         return "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>" if rng.random() < 0.7 else " | ".join(items)
 
-    def furniture(kind: str) -> str:
+    def heading(kind: str) -> str:
+        h = rng.choice(["h1", "h2", "h3", "h3", "h4", "h5", "strong"])
+        return f"<{h}>{words(rng.randint(1, 3), kind)}</{h}>"
+
+    def furniture(kind: str, inside: bool = False) -> str:
         tag = {"menu": ["nav", "div"], "header": ["header", "div"], "sidebar": ["aside", "div"], "footer": ["footer", "div"], "form": ["form", "div"], "comments": ["section", "div", "ol"]}.get(kind, ["div", "section", "p"])
         t = rng.choice(tag)
         if kind == "menu":
             inner = links(kind, rng.randint(2, 9))
         elif kind == "comments":
-            inner = f"<h3>{words(2, kind)}</h3>" + "".join(f'<div{attribute(kind)}><b>{word()}</b> <span>{words(2, kind)}</span><p>{prose(3)}</p></div>' for _ in range(rng.randint(1, 5)))
+            inner = heading(kind) + "".join(f'<div{attribute(kind)}><b>{word()}</b> <span>{words(2, kind)}</span><p>{prose(3)}</p></div>' for _ in range(rng.randint(1, 5)))
         elif kind == "form":
             inner = f'<label>{words(2, kind)}</label><input name="q"><button>{words(1, kind)}</button>'
             inner = inner if t == "form" else f"<form>{inner}</form>"
         elif kind == "sidebar":
-            inner = f"<h4>{words(2, kind)}</h4>" + (links(kind, rng.randint(2, 6)) if rng.random() < 0.7 else f"<p>{prose(2)}</p>")
+            inner = heading(kind) + (links(kind, rng.randint(2, 6)) if rng.random() < 0.7 else f"<p>{prose(2)}</p>")
         elif kind == "footer":
             inner = f"&copy; {word()}.example &middot; {prose(2)}" if rng.random() < 0.6 else f"<p>{words(6, kind)}</p>" + links(kind, 3)
         elif kind == "header":
-            inner = f"<h1>{words(2, kind)}</h1><p>{words(5, kind)}</p>" if rng.random() < 0.4 else f"<div>{words(3, kind)}</div>"
+            title, h = words(rng.randint(1, 4), kind), rng.choice(["h1", "h1", "h2", "p"])
+            title = f'<a href="/">{title}</a>' if rng.random() < 0.5 else title
+            inner = f"<{h}>{title}</{h}><p>{words(rng.randint(2, 7), kind)}</p>" if rng.random() < 0.5 else f"<div>{title}</div>"
         elif kind == "share":
             inner = links(kind, rng.randint(1, 4))
         else:
             inner = prose(2) if rng.random() < 0.6 else f"<p>{words(8, kind)}</p><a href='/'>{words(2, kind)}</a>"
-        named = attribute(kind) or (f' class="{kind}"' if t in ("div", "section", "p", "ol") else "")
+        named = attribute(kind, inside) or (f' class="{kind}"' if t in ("div", "section", "p", "ol") else "")
         return f"<{t}{named}>{inner}</{t}>"
 
     body: list[str] = []
@@ -412,7 +423,7 @@ def generated_page(rng: random.Random) -> tuple[str, set[str]]:
         main("h1", words(rng.randint(2, 12)))
     for _ in range(rng.choice([0, 1, 2, 4, 7, 12, 18])):
         x = rng.random()
-        if x < 0.72:
+        if x < 0.7:
             main("p", prose(), rng.random() < 0.85)
         elif x < 0.8:
             main(rng.choice(["h2", "h3"]), words(rng.randint(1, 6)))
@@ -420,15 +431,19 @@ def generated_page(rng: random.Random) -> tuple[str, set[str]]:
             items = [prose(2) for _ in range(rng.randint(2, 5))]
             good.update(map(clean, items))
             body.append("<ul>" + "".join(f"<li>{i}</li>" for i in items) + "</ul>")
-        elif x < 0.9:
+        elif x < 0.89:
             main(rng.choice(["blockquote", "pre", "div"]), prose(3))
-        elif x < 0.95:
-            body.append(furniture(rng.choice(["ad", "share", "sidebar", "form", "notice"])))
+        elif x < 0.96:
+            body.append(furniture(rng.choice(["ad", "ad", "share", "sidebar", "form", "notice"]), inside=True))
         else:
             main("p", words(rng.randint(1, 3)))
     shape = rng.random()
     names = rng.sample(MAIN, rng.randint(1, 2))
-    if shape < 0.5:
+    if shape < 0.12:
+        core = f"<section>{''.join(body)}</section>"
+    elif shape < 0.18:
+        core = f"<table><tr><td>{''.join(body)}</td></tr></table>"
+    elif shape < 0.5:
         core = f"<article>{''.join(body)}</article>" if rng.random() < 0.6 else f'<article class="{names[0]}">{"".join(body)}</article>'
     elif shape < 0.65:
         core = f"<main>{''.join(body)}</main>"
