@@ -21,11 +21,14 @@ _shipped: set[str] = set()
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is read from ``spark.checkpoint.dir``. Only where that is unset (a local
-    session, as in tests) a temporary folder is made and set.
+    It is read from ``spark.checkpoint.dir``. Only in a local session without
+    that setting, as in tests, a temporary folder is made and set; on a cluster
+    each executor would have its own, so there the setting is needed.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -8,7 +8,9 @@ functions. Where the two agree, the partition is certified and done. The others
 exchange the pieces of their sequences that aren't full: these are dealt anew to
 as few partitions as hold them, which pack them again. It ends when all are
 certified, when an exchange no longer needs fewer partitions, or with the one
-that held everything left. Pieces that fill a sequence alone never move.
+that held everything left. Pieces that fill a sequence alone never move. The
+column ``certified`` says of a piece whether its sequence is full or its
+partition met the bound; the last packing stands even where it didn't.
 
 Only (row, length) move in the exchange: no text, no tokens. A partition gets
 about SLICE pieces, whatever the input.
@@ -20,8 +22,9 @@ of the whole text. A text that holds one of the vocabulary's added tokens, such
 as <|endoftext|>, is given to the tokenizer as a whole, which finds them.
 
 Defined cases: null and empty texts are the end token alone, one piece of length
-1; repeated rows are packed as documents of their own; an empty table gives an
-empty result; columns beside doc_id and text aren't read.
+1; a text of any length is encoded whole; pieces of equal length are packed in
+the order of their numbers; repeated rows are packed as documents of their own;
+an empty table gives an empty result; columns beside doc_id and text aren't read.
 """
 
 from __future__ import annotations
@@ -43,8 +46,8 @@ END = 2
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces that one partition packs at once.
 SLICE = 40_000
-#: Exchanges at most; the last one's packing stands.
-ROUNDS = 12
+#: Exchanges at most: sequence numbers have bits for so many. Each needs fewer partitions than the one before.
+ROUNDS = 30
 #: Pre-tokens whose ids a worker remembers; beyond, it starts anew.
 REMEMBERED = 1_500_000
 #: The contractions that the vocabulary's pre-tokenizer splits off.
@@ -266,14 +269,14 @@ def _pack(length: int, last: bool):
         bins = best_fit(sizes, length)
         n = int(bins.max()) + 1 if len(bins) else 0
         fill = np.bincount(bins, sizes, n).astype(np.int64)
-        done = np.ones(len(sizes), bool) if last or n == lower_bound(sizes, length) else fill[bins] == length
+        sure = np.ones(len(sizes), bool) if n == lower_bound(sizes, length) else fill[bins] == length
         by = np.argsort(bins, kind="stable")
         ends = sizes[by].cumsum()
         offset = np.zeros(len(sizes), np.int64)
         offset[by] = ends - sizes[by] - (fill.cumsum() - fill)[bins[by]]
         return pa.table({
             "row": table.column("row"), "length": table.column("length"),
-            "slice": pa.array(np.full(len(sizes), key[0].as_py(), np.int64)), "bin": pa.array(bins), "offset": pa.array(offset), "done": pa.array(done),
+            "slice": pa.array(np.full(len(sizes), key[0].as_py(), np.int64)), "bin": pa.array(bins), "offset": pa.array(offset), "done": pa.array(sure | last), "certified": pa.array(sure),
         })
 
     return run
@@ -288,12 +291,12 @@ def tokenize(docs: DataFrame, path: str | None = None, length: int = LENGTH) ->
 
 
 def assign(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Sequence and offset of each piece: (row, sequence_id, offset), staged round by round."""
-    full = pieces.where(F.col("length") == length).select("row", F.col("row").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    """Sequence and offset of each piece: (row, sequence_id, offset, certified), staged round by round."""
+    full = pieces.where(F.col("length") == length).select("row", F.col("row").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"), F.lit(True).alias("certified"))
     rest = pieces.where(F.col("length") < length).select("row", "length")
     n = rest.count()
     found, slices, turn, last = [], max(1, -(-n // SLICE)), 0, False
-    schema = "row bigint, length bigint, slice bigint, bin bigint, offset bigint, done boolean"
+    schema = "row bigint, length bigint, slice bigint, bin bigint, offset bigint, done boolean, certified boolean"
     while n:
         turn += 1
         last = last or slices == 1
@@ -301,7 +304,7 @@ def assign(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
         packed = staged(dealt.groupBy("slice").applyInArrow(_pack(length, last), schema), f"packed-{turn}")
         # below 0, so that no number meets a row's; rounds, slices and bins each have bits of their own
         number = -(F.lit(turn).cast("bigint") * (1 << 58) + F.col("slice") * (1 << 20) + F.col("bin")) - 1
-        found.append(packed.where("done").select("row", number.alias("sequence_id"), "offset"))
+        found.append(packed.where("done").select("row", number.alias("sequence_id"), "offset", "certified"))
         rest = packed.where("not done").select("row", "length")
         n = rest.count()
         fewer = max(1, -(-n // SLICE))
@@ -313,6 +316,6 @@ def assign(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified."""
     pieces = tokenize(docs, path, length)
-    return pieces.join(assign(pieces, length), "row").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pieces.join(assign(pieces, length), "row").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified")
