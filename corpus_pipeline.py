@@ -3,6 +3,14 @@
 Each stage works on all rows that the one before it kept, and is written as
 Parquet and read again before the next, so a lost executor never costs more than
 one stage. All stages but the last return the columns of ``documents``.
+
+Defined cases, for all stages: further columns, whatever their names, stay as they
+are; a null doc_id is a document; an empty table gives an empty result; texts of
+any length are handled whole. Null, empty and blank texts have no letter, so the
+first stage drops them. Repeated rows: language ID decides alike for each, exact
+dedup keeps one, so the stages after it see none. Ties: exact and near dedup keep
+the smallest doc_id, mixing orders by hashes of the doc_id, packing by the pieces'
+numbers.
 """
 
 from __future__ import annotations
