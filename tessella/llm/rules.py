@@ -10,8 +10,9 @@ Only DataFrame functions run on the data. A pattern has one of three votes for
 each of the seven rules, so the driver sees at most 3**7 rows, whatever the input.
 
 Defined cases: null text has no words; a text without words fails the base rule;
-repeated rows are judged alike; an empty table gives an empty result; columns
-beside doc_id and text are not read.
+a text of any length is measured whole; a posterior of exactly one half keeps a
+document; repeated rows are judged alike, and each counts in the estimate; an
+empty table gives an empty result; columns beside doc_id and text are not read.
 """
 
 from __future__ import annotations
