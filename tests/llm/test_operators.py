@@ -565,6 +565,41 @@ def test_measures_against_brute_force(make):
         assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0]) and not (r.base_failed and r.kept)
 
 
+def test_verdicts_against_plain_rules_and_em(make):
+    """kept and quality, with the votes of each rule and the estimate worked out document by document."""
+    rng = random.Random(22)
+    texts = [prose(rng, rng.randint(5, 60), rng.choice(["abcdefgh", "AB#", "ab1!", "abcdefgh"])) for _ in range(70)] + ["WORD NEXT " * 15, "x " * 40, "line of six words in all\n" * 9, "", None]
+    got = by_id(rules.quality(make(list(enumerate(texts)))))
+    votes = []
+    for t in texts:
+        n, chars, symbols, dup, repeat = brute_measures(t)
+        lines = sum(bool(WORD.search(x)) for x in (t or "").split("\n"))
+        letters, upper = sum(c.isalpha() for c in t or ""), sum(c.isupper() for c in t or "")
+        votes.append((
+            -(n < 20), -1 if 100 * symbols > 8 * chars else int(100 * symbols <= chars), -(100 * dup > 30 * lines), -(100 * repeat > 20 * n),
+            -(chars < 2 * n or chars > 14 * n or n == 0), -1 if 10 * upper > 5 * letters else int(10 * upper <= 2 * letters),
+            -1 if 10 * letters < 7 * chars else int(100 * letters >= 92 * chars),
+        ))
+    good = [0.9 * 0.25 ** sum(x < 0 for x in v) for v in votes]
+    clip = lambda x, lo: min(0.99, max(lo, x))
+    for _ in range(rules.ROUNDS):
+        share, right = clip((sum(good) + 1) / (len(good) + 2), 0.01), []
+        for k in range(len(votes[0])):
+            for sign in (1, -1):
+                own = [(g if sign > 0 else 1 - g, v[k]) for g, v in zip(good, votes, strict=True) if v[k]]
+                right.append(clip((sum(w for w, x in own if x == sign) + rules.PRIOR_ACC * rules.PRIOR_N) / (sum(w for w, _ in own) + rules.PRIOR_N), 0.55))
+        for d, v in enumerate(votes):
+            p, q = share, 1 - share
+            for k, x in enumerate(v):
+                of_good, of_bad = right[2 * k], right[2 * k + 1]
+                p *= {1: of_good, -1: 1 - of_good, 0: 1}[x]
+                q *= {1: 1 - of_bad, -1: of_bad, 0: 1}[x]
+            good[d] = p / (p + q)
+    for i in range(len(texts)):
+        assert got[i].quality == pytest.approx(good[i], rel=1e-6) and got[i].kept == (not got[i].base_failed and good[i] >= 0.5)
+    assert {r.kept for r in got.values()} == {True, False}
+
+
 def test_em_finds_the_accuracies():
     rng = random.Random(12)
     right = (0.9, 0.8, 0.7, 0.85)
