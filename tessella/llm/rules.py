@@ -48,6 +48,15 @@ def _repeat_words() -> Column:
           a -> a.n) end""")
 
 
+def _windows(hashed: DataFrame) -> DataFrame:
+    """_windows: a hash of each run of WINDOW words, from _hashes, by hashing neighbours at distance 1, 2 and 4."""
+    hashed = hashed.withColumn("_windows", F.col("_hashes"))
+    for k in (1, 2, 4):
+        pairs = f"zip_with(slice(_windows, 1, size(_windows) - {k}), slice(_windows, {k + 1}, size(_windows)), (a, b) -> xxhash64(a, b))"
+        hashed = hashed.withColumn("_windows", F.expr(f"case when size(_windows) <= {k} then array() else {pairs} end"))
+    return hashed
+
+
 def measures(docs: DataFrame) -> DataFrame:
     """doc_id, the counts of the contract and what the rules look at."""
     blank = " \t\n\x0b\x0c\r"
@@ -57,13 +66,12 @@ def measures(docs: DataFrame) -> DataFrame:
         "doc_id",
         F.when(F.col("_trim") == "", F.expr("array()")).otherwise(F.split("_trim", SPACES)).alias("_words"),
         F.filter(F.split("_text", "\n"), lambda x: F.length(F.btrim(x, F.lit(blank))) > 0).alias("_lines"),
-        F.length(F.translate("_text", blank, "")).cast("bigint").alias("word_chars"),
-        (F.length("_text") - F.length(F.translate("_text", "#*$%&|<>", ""))).cast("bigint").alias("n_symbols"),
+        F.length(F.regexp_replace("_text", r"[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"),
         F.length(F.regexp_replace("_text", r"[^\p{Lu}]+", "")).cast("bigint").alias("_upper"),
         F.length(F.regexp_replace("_text", r"[^\p{L}]+", "")).cast("bigint").alias("_letters"),
     )
     hashed = text.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
-    hashed = hashed.withColumn("_windows", F.expr(f"case when size(_hashes) < {WINDOW} then array() else transform(sequence(1, size(_hashes) - {WINDOW - 1}), i -> xxhash64(slice(_hashes, i, {WINDOW}))) end"))
+    hashed = _windows(hashed.withColumn("word_chars", F.length(F.array_join("_words", "")).cast("bigint")))
     return hashed.select(
         "doc_id", F.size("_words").cast("bigint").alias("n_words"), "word_chars", "n_symbols",
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
