@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +20,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 _staged: list[tuple[object, str]] = []
 _shipped: set[str] = set()
+#: What empties an operator's tables in a Python worker, by operator; the operator whose task ran last.
+_tables: dict[str, Callable[[], object]] = {}
+_last: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -85,6 +92,37 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def keeps(operator: str, forget: Callable[[], object]) -> None:
+    """Says how to empty the tables that an operator's tasks leave to those after them in a Python worker."""
+    _tables[operator] = forget
+
+
+def give_back() -> None:
+    """Memory that was freed goes back to the system; Arrow and the C library would keep it for the worker's life."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        return
+
+
+def lean(operator: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's batches. Freed memory goes back after each; before the first, so do the tables of other operators.
+
+    Spark's Python workers serve the tasks of all stages. Without this each holds the most that any of them took.
+    """
+    if _last != [operator]:
+        for other in _tables.keys() - {operator}:
+            _tables[other]()
+        _last[:] = [operator]
+        gc.collect()
+        give_back()
+    for batch in batches:
+        yield batch
+        del batch
+        give_back()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

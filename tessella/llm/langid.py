@@ -27,11 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import textops as tx
-from tessella.llm.common import id_crc, ship
+from tessella.llm.common import id_crc, lean, ship
 
 BITS = 16
 ORDERS = (1, 2, 3)
 PER_CLASS = 2000
+#: Texts of a batch that are Python strings at a time.
+ROWS = 1000
 UNKNOWN = "und"
 
 
@@ -68,7 +70,7 @@ def log_probabilities(tallies: dict[str, np.ndarray], smooth: float = 0.5) -> tu
 def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a partition's rows (text, lang): the counts of each language, those of buckets that occur."""
     seen: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in lean("langid", batches):
         texts = defaultdict(list)
         for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
             texts[lang].append(text)
@@ -122,12 +124,21 @@ def train(docs: DataFrame, per_class: int = PER_CLASS) -> tuple[list[str], np.nd
     return log_probabilities(tallies)
 
 
+def _judged(column: pa.Array, names: list[str], matrix: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Language and posterior of each text of a batch."""
+    lang, p = [], [np.zeros(0)]
+    for at in range(0, len(column), ROWS):
+        some, posterior = score(["" if t is None else t for t in column.slice(at, ROWS).to_pylist()], names, matrix)
+        lang += some
+        p.append(posterior)
+    return lang, np.concatenate(p)
+
+
 def _scorer(model, kind: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix = model.value
-        for batch in batches:
-            texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
-            lang, p = score(texts, names, matrix)
+        for batch in lean("langid", batches):
+            lang, p = _judged(batch.column("text"), names, matrix)
             if kind == "report":
                 out = {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(p, pa.float64())}
                 yield pa.RecordBatch.from_pydict(out)

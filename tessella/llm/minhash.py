@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import textops as tx
-from tessella.llm.common import ship, staged
+from tessella.llm.common import lean, ship, staged
 
 WIDTH = 5
 BINS = 128
@@ -103,7 +103,7 @@ def sketches(keys: np.ndarray, docs: int) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in lean("minhash", batches):
         for first, last, data, offsets in tx.chunks(batch.column("text")):
             n = last - first
             keys = shingle_keys(data, offsets)
@@ -138,7 +138,7 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in lean("minhash", batches):
         a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("a", "b"))
         ids_a, sets_a = _sets(a, batch.column("text_a"))
         ids_b, sets_b = _sets(b, batch.column("text_b"))

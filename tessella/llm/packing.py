@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import textops as tx
-from tessella.llm.common import ship, staged
+from tessella.llm.common import keeps, lean, ship, staged
 
 LENGTH = 1024
 END = 2
@@ -54,6 +54,7 @@ REMEMBERED = 1_500_000
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 _known: dict[str, tuple] = {}
+keeps("packing", _known.clear)
 
 
 def borders(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -193,7 +194,7 @@ def vocabulary_path() -> str:
 def _cut(path: str, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(path)
-        for batch in batches:
+        for batch in lean("packing", batches):
             texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
             rows: list[tuple[int, int, int, int, int]] = []
             for a, b in tx.text_runs(texts):

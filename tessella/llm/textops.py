@@ -29,7 +29,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse, modulo 2**64."""
     if len(_powers[0]) < n:
         for k, base in enumerate((BASE, BASE_INVERSE)):
-            x = np.full(max(n, 2 * CHUNK), base, U64)
+            x = np.full(max(n, CHUNK + 1), base, U64)
             x[0] = 1
             _powers[k] = np.multiply.accumulate(x)
     return _powers[0][:n], _powers[1][:n]

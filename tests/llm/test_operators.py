@@ -14,7 +14,7 @@ import pytest
 
 from tests.llm.hand_pages import PAGES
 
-from tessella.llm import exact, html_text, langid, lm, minhash, mixing, packing, quality_fm, rules, toxicity
+from tessella.llm import common, exact, html_text, langid, lm, minhash, mixing, packing, quality_fm, rules, toxicity
 from tessella.llm import textops as tx
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -814,3 +814,24 @@ def test_classifiers_odd(spark, odd, operator):
         got = operator(odd, table).collect()
         assert len(got) == odd.count() and all(0 <= r.score <= 1 for r in got)
     assert operator(odd.limit(0), labels).count() == 0
+
+
+def test_a_worker_gives_memory_back(monkeypatch):
+    """Tasks of one operator don't hold what another left, no batch is all Python strings at once, freed memory returns."""
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1), raising=False)
+    texts = [f"some text number {i} of them" if i % 7 else None for i in range(2500)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(2500), pa.int64()), "text": texts, "held_out": [False] * 2500})
+    list(packing._cut(packing.vocabulary_path(), 1024)(iter([batch, batch])))
+    assert packing._known and len(calls) >= 2
+    names, matrix = langid.log_probabilities({"aa": langid.tally(["some text of them"]), "bb": langid.tally(["quite other words"])})
+    whole = langid.score([t or "" for t in texts], names, matrix)
+    seen, score = [], langid.score
+    monkeypatch.setattr(langid, "score", lambda own, *model: seen.append(len(own)) or score(own, *model))
+    calls.clear()
+    model = type("Model", (), {"value": (names, matrix)})
+    out = pa.Table.from_batches(langid._scorer(model, "report")(iter([batch, batch.slice(0, 0), batch])))
+    assert not packing._known  # the encoder's tables went before the first batch
+    assert len(calls) >= 3 and max(seen) <= 1000
+    assert out.column("lang_pred").to_pylist() == whole[0] * 2
+    assert out.column("score").to_pylist() == pytest.approx(whole[1].tolist() * 2)
